@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracequarry.llm import contamination, conversations, packing, shared_spans
+from tracequarry.llm import contamination, conversations, packing, quality, shared_spans
 from tracequarry.llm.sql import SQL as SQL
 from tracequarry.session import table
 
@@ -41,4 +41,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_corrected, p7_found, p7_share, p8_found, p8_containers, p9_found)}
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_types(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_types(table(spark, d, "documents")).filter("prose_share < 0.5").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_corrected, p7_found, p7_share, p8_found, p8_containers, p9_found, p10_stats, p10_found)}
