@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracequarry.llm import contamination, conversations, packing, quality, shared_spans
+from tracequarry.llm import contamination, conversations, packing, personal, quality, shared_spans
 from tracequarry.llm.sql import SQL as SQL
 from tracequarry.session import table
 
@@ -21,6 +21,14 @@ def p5_corrected(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "claude_session_minimal"), max_offset_us=300_000_000)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.personal_kinds(table(spark, d, "claude_session_with_metadata"), table(spark, d, "identity_map"))
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "claude_session_with_metadata"), table(spark, d, "identity_map"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_pairs(table(spark, d, "spans"), texts=_TEXTS, same=_SAME)
 
@@ -49,4 +57,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_types(table(spark, d, "documents")).filter("prose_share < 0.5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_corrected, p7_found, p7_share, p8_found, p8_containers, p9_found, p10_stats, p10_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_corrected, p6_found, p6_redacted, p7_found, p7_share, p8_found, p8_containers, p9_found, p10_stats, p10_found)}
