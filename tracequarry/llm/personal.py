@@ -25,6 +25,7 @@ GOOD_SHARE, LEAST_KNOWN = 0.4, 2
 
 # Words that name a kind of number, and words that end or begin a street's name.
 _ID_WORDS = re.compile(r"\b(?:ssn|social|tax|tin|insurance|passport|identity|id card|nino|national id|driver'?s? licen[cs]e)\b", re.I)
+_PHONE_WORDS = re.compile(r"\b(?:tel|telephone|phone|mobile|cell|pager|fax|call|text me|dial)\b", re.I)
 _STREET = re.compile(
     r"(?:\b(?:street|st|road|rd|avenue|ave|lane|ln|boulevard|blvd|drive|dr|court|ct|way|terrace|close|place|pl|square|sq|crescent|row|parkway|pkwy|highway|hwy|str|weg|allee|platz|gasse|ring|ufer|rue|chemin|calle|avenida|plaza|paseo|via|viale|piazza)\b\.?|(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer))",
     re.I,
@@ -40,7 +41,7 @@ _ID = re.compile(r"(?<![\w.-])(?:\d{3}([- ])\d{2}\1\d{4}|[A-Z]{2} ?\d{2} ?\d{2}
 _PHONE = re.compile(r"(?<![\w.+/:-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d+(?:[ .-]\d+){0,5}(?![\w-]|[.:/]\d)")
 _CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]*[^\W\d_]"
 _ADDRESS = re.compile(
-    rf"(?<![\w.-])\d{{1,5}}[a-z]?(?: {_CAP}\.?){{1,4}}(?:,? (?:Apt|Apartment|Unit|Suite|Ste|Flat|No|#)\.? ?\d+\w?)?(?:, {_CAP}(?: {_CAP})?)?(?:,? \d{{4,5}}(?![\w.]))?"
+    rf"(?<![\w.-])(?<!\d:)\d{{1,5}}[a-z]?(?: {_CAP}\.?){{1,4}}(?:,? (?:Apt|Apartment|Unit|Suite|Ste|Flat|No|#)\.? ?\d+\w?)?(?:, {_CAP}(?: {_CAP})?)?(?:,? \d{{4,5}}(?![\w.]))?"
     rf"|(?<![\w.-])(?:{_CAP}\.? ){{1,3}}\d{{1,4}}[a-z]?(?![\w.]\w)(?:, \d{{4,5}} {_CAP}(?: {_CAP})?)?"
 )
 _WORD1 = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
@@ -158,7 +159,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str, bool, list[str]]]:
             n = sum(c.isdigit() for c in s)
             if not 9 <= n <= 15 or not free(a, b) or re.fullmatch(r"\d{4}[-. ]\d\d[-. ]\d\d.*|\d+\.\d+|\d{1,3}(?:\.\d{1,3}){3}", s):
                 continue
-            seed = s[0] == "+" or bool(re.fullmatch(r"\(\d{3}\) ?\d{3}[ -]\d{4}", s))
+            seed = s[0] == "+" or bool(re.fullmatch(r"\(\d{3}\) ?\d{3}[ -]\d{4}", s)) or not s.isdigit() and bool(_PHONE_WORDS.search(text[max(0, a - 14) : a]))
             form = [f"F {re.sub(r'\d', '0', s)}"] if not s.isdigit() else []
             out.append((a, b, "phone", re.sub(r"\D", "", s), seed, [*form, *_context(text, a, b)]))
     for shape, rx in _NAMES:
