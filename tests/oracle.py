@@ -70,4 +70,4 @@ if __name__ == "__main__":
             said = compare(spark, con, fn, sql[name], d) if name in sql else f"no SQL; {fn(spark, d).count()} rows"
         except Exception as x:
             said = f"ERROR {str(x)[:1500]}"
-        print(f"{name}: {said or 'ok'} ({time.time() - t:.1f} s)", flush=True)
+        print(f"{name}: {said or 'ok'} ({time.time() - t:.1f} s)"[:900], flush=True)
