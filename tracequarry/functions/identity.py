@@ -6,7 +6,7 @@ user_<hash>_account_<uuid>_session_<id>. A JSON object is read by key only: its
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.functions.text import valid_json
@@ -21,35 +21,37 @@ PARTS = {
 INVALID_SESSIONS = ("id", "", "None", "null", "unknown")
 
 
-def identity(value: Column, part: str) -> Column:
-    """The part of one identity value; null if it has none."""
-    keys, pattern = PARTS[part]
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.lit(False))
-    by_key = F.coalesce(*(F.nullif(F.get_json_object(value, f"$.{k}"), F.lit("")) for k in keys))
-    return F.when(is_object, by_key).otherwise(F.nullif(F.regexp_extract(value, pattern, 1), F.lit("")))
 
 
-def candidates(raw: Column) -> list[Column]:
-    """The identity values of a span's raw attributes, in the order in which they count."""
+def metadata_values(raw: Column) -> Column:
+    """The identity values in a span's raw attributes, as an array in the order in which they count."""
+    nested, dotted, top = F.get_json_object(raw, "$.attributes.metadata"), F.get_json_object(raw, "$['attributes.metadata']"), F.get_json_object(raw, "$.metadata")
+    llm = F.map_values(F.from_json(F.get_json_object(raw, "$.attributes.llm"), "map<string,string>"))
+    model = F.slice(F.array_compact(F.transform(llm, lambda m: F.get_json_object(m, "$.metadata"))), 1, 1)
+    metas = F.array_compact(F.concat(F.array(nested, dotted), F.coalesce(model, F.expr("CAST(array() AS array<string>)")), F.array(top)))
+    inner = lambda m: F.array(F.get_json_object(m, "$.user_api_key_end_user_id"), F.get_json_object(m, "$.requester_metadata.user_id"), m)
+    return F.array_compact(F.flatten(F.transform(metas, inner)))
 
-    def inner(meta: Column) -> list[Column]:
-        return [F.get_json_object(meta, "$.user_api_key_end_user_id"), F.get_json_object(meta, "$.requester_metadata.user_id"), meta]
 
-    raw = valid_json(raw)
-    nested = F.get_json_object(raw, "$.attributes.metadata")
-    dotted = F.get_json_object(raw, "$['attributes.metadata']")
-    llm = F.map_values(F.from_json(F.get_json_object(raw, "$.attributes.llm"), "map<string,string>"))
-    first = F.element_at(F.filter(F.transform(llm, lambda m: F.get_json_object(m, "$.metadata")), lambda m: m.isNotNull()), 1)
-    model = F.when(F.size(F.filter(F.transform(llm, lambda m: F.get_json_object(m, "$.metadata")), lambda m: m.isNotNull())) > 0, first)
-    top = F.get_json_object(raw, "$.metadata")
-    return [x for m in (nested, dotted, model, top) for x in inner(m)]
+def part_of(values: Column, part: str) -> Column:
+    """The first of identity values that has the part; null if none has: there is no fallback for users and accounts."""
+    keys, pattern = PARTS[part]
+
+    def one(v: Column) -> Column:
+        by_key = F.coalesce(*(F.nullif(F.get_json_object(v, f"$.{k}"), F.lit("")) for k in keys))
+        is_object = F.ltrim(v).startswith("{") & F.try_parse_json(v).isNotNull()
+        return F.when(is_object, by_key).otherwise(F.nullif(F.regexp_extract(v, pattern, 1), F.lit("")))
 
+    return F.try_element_at(F.array_compact(F.transform(values, one)), F.lit(1))
 
-def from_attributes(raw: Column, part: str) -> Column:
-    """The first layout that has the part; null if none has: there is no fallback for users and accounts."""
-    return F.coalesce(*(identity(c, part) for c in candidates(raw)))
 
+def with_identities(spans: DataFrame) -> DataFrame:
+    """spans with found_user, found_account and found_session, read from raw_attributes; a span without a session falls back to its trace, then to its text.
 
-def session_of(raw: Column, trace_id: Column, text: Column) -> Column:
-    """The session of a span: of its metadata, else its trace, else named in its text."""
-    return F.coalesce(from_attributes(raw, "session"), trace_id, F.nullif(F.regexp_extract(text, PARTS["session"][1], 1), F.lit("")))
+    The steps are projections of their own, so that each text is parsed once.
+    """
+    s = spans.withColumn("_raw", valid_json(F.col("raw_attributes")))
+    s = s.withColumn("_values", metadata_values(F.col("_raw")))
+    in_text = F.nullif(F.regexp_extract("input_value", PARTS["session"][1], 1), F.lit(""))
+    s = s.withColumns({"found_user": part_of(F.col("_values"), "user"), "found_account": part_of(F.col("_values"), "account"), "found_session": F.coalesce(part_of(F.col("_values"), "session"), F.col("trace_id"), in_text)})
+    return s.drop("_raw", "_values")

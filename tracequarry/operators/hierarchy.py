@@ -148,7 +148,7 @@ def _contract_tables(edges: DataFrame, limit: int, paths: bool) -> DataFrame:
     ids = edges.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("_known"))
     seg = F.expr("CAST(array() AS array<string>)")
     active = written(
-        edges.join(ids, ["trace_id", "parent_id"], "left").select(*key, F.when("_known", F.col("parent_id")).alias("parent_id"), F.lit(1).cast("long").alias("dist"), F.col("span_id").alias("low_id"), *([seg.alias("seg")] if paths else [])),
+        edges.join(ids, ["trace_id", "parent_id"], "left").select(*key, F.when(F.col("_known"), F.col("parent_id")).alias("parent_id"), F.lit(1).cast("long").alias("dist"), F.col("span_id").alias("low_id"), *([seg.alias("seg")] if paths else [])),
         "hierarchy",
     )
     undo: list[DataFrame] = []

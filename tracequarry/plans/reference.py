@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from tracequarry.functions import classify as C
 from tracequarry.functions import identity as I
 from tracequarry.functions import text as T
+from tracequarry.functions.literals import as_json
 from tracequarry.functions.times import duration_ms, iso_week, parse_time
 from tracequarry.operators import hierarchy, links, metrics, query, transcript, unify
 from tracequarry.plans import fragments as S
-from tracequarry.session import table
+from tracequarry.session import scratch, stream_path, table
+from tracequarry.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -342,9 +344,8 @@ def suggestions(spark, d):
 
 @register(f"SELECT id, {S.identity('user')} AS user_id, {S.identity('account')} AS account_id, coalesce({S.identity('session')}, trace_id, nullif(regexp_extract(input_value, 'session_([a-zA-Z0-9_-]+)', 1), '')) AS session_id FROM ({S.META})")
 def identities(spark, d):
-    s = _spans(spark, d)
-    raw = F.col("raw_attributes")
-    return s.select("id", I.from_attributes(raw, "user").alias("user_id"), I.from_attributes(raw, "account").alias("account_id"), I.session_of(raw, F.col("trace_id"), F.col("input_value")).alias("session_id"))
+    s = I.with_identities(_spans(spark, d).select("id", "trace_id", "input_value", "raw_attributes"))
+    return s.select("id", F.col("found_user").alias("user_id"), F.col("found_account").alias("account_id"), F.col("found_session").alias("session_id"))
 
 
 @register(f"""
@@ -381,6 +382,18 @@ def spans_by_person(spark, d):
     return unify.with_identity(_spans(spark, d), table(spark, d, "identity_map")).groupBy("label").agg(F.count("*").alias("spans"))
 
 
+@register()
+def attributes_as_json(spark, d):
+    """Attributes that are Python literals come out as JSON, unreadable ones are null."""
+    return _spans(spark, d).select("id", as_json(F.col("raw_attributes")).alias("attributes"))
+
+
+@register()
+def closed_stream_sessions(spark, d):
+    """Working sessions by a stream with a watermark: those closed at the end of the data."""
+    return live.closed_sessions(spark, stream_path(spark, f"{d}/spans.parquet"), scratch(spark, "closed-sessions"))
+
+
 # Deduplication and merges
 
 

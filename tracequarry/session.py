@@ -53,3 +53,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stream_path(spark: SparkSession, path: str) -> str:
+    """The path for a file stream, which takes folders and patterns: of a single file, a pattern that matches just this file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return f"{path[:-1]}[{path[-1]}]" if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile() else path

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.session import scratch
+from tracequarry.session import scratch, stream_path
 
 EVENTS = (
     "session_id string, event_id string, parent_event_id string, order_idx int, timestamp timestamp, event_type string, text string, "
@@ -120,10 +120,7 @@ FEATURES = "session_id string, event_key string, n_events long, last_us long, du
 def event_features(spark: SparkSession, events_path: str, catalog: DataFrame, *, folder: str | None = None, files_per_batch: int = 64) -> DataFrame:
     """The feature table of a folder or file of events, read as a stream in batches of files_per_batch files."""
     folder = folder or scratch(spark, "features")
-    p = spark._jvm.org.apache.hadoop.fs.Path(events_path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
-        events_path = f"{events_path[:-1]}[{events_path[-1]}]"  # a stream takes folders and patterns; this pattern matches just the one file
-    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", str(files_per_batch)).parquet(events_path)
+    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", str(files_per_batch)).parquet(stream_path(spark, events_path))
     newest = feature_stream(events, catalog, folder=folder)
     return spark.read.schema(FEATURES).parquet(newest) if newest else spark.createDataFrame([], FEATURES)
 
