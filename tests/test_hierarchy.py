@@ -37,10 +37,10 @@ def forest(seed, n, traces):
     return rows + rows[::7] + [(None, "x", None), ("t0", None, None), ("t0", "self", "self"), ("t0", "lost", "nowhere"), ("t0", "empty", "")]
 
 
-@pytest.mark.parametrize("limit", [100_000, 20])
+@pytest.mark.parametrize("limit", [100_000, 12])
 @pytest.mark.parametrize("paths", [False, True])
 def test_equals_walking(spark, limit, paths):
-    rows = forest(3, 260, 5) + [("chain", f"c{i:03d}", f"c{i - 1:03d}" if i else "c119") for i in range(120)] + [("line", f"l{i:03d}", f"l{i - 1:03d}") for i in range(90)]
+    rows = forest(3, 120, 3) + [("chain", f"c{i:03d}", f"c{i - 1:03d}" if i else "c029") for i in range(30)] + [("line", f"l{i:03d}", f"l{i - 1:03d}") for i in range(25)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "trace_id string, span_id string, parent_id string, depth string")
     got = {(r.trace_id, r.span_id): (r.root_id, r.depth, r.path if paths else None) for r in hierarchy.hierarchy(df, paths=paths, limit=limit, task_nodes=50).collect()}
     want = {k: v if paths else (v[0], v[1], None) for k, v in brute(rows).items()}

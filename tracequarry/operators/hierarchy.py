@@ -155,7 +155,11 @@ def _contract_tables(edges: DataFrame, limit: int, paths: bool) -> DataFrame:
     step = 0
     linked = "parent_id IS NOT NULL AND parent_id <> span_id"
     # paths need the order of all removals, so then the contraction runs to its end
-    while active.filter(linked).limit(1).count() if paths else active.groupBy("trace_id").count().agg(F.max("count")).first()[0] > limit:
+    def open_groups() -> DataFrame:
+        g = active.groupBy("trace_id").agg(F.count("*").alias("n"), F.count_if(F.expr(linked)).alias("links"))
+        return g.filter("links > 0")
+
+    while open_groups().filter(F.lit(True) if paths else F.col("n") > limit).limit(1).count():
         kids = active.filter(linked).groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.count("*").alias("kids"))
         now = written(active.join(kids, key, "left").fillna(0, ["kids"]), "hierarchy")
         leaf = now.filter(f"{linked} AND kids = 0").drop("kids")
@@ -187,12 +191,19 @@ def _contract_tables(edges: DataFrame, limit: int, paths: bool) -> DataFrame:
             "hierarchy",
         )
         step += 1
+    def ends(rows: DataFrame) -> DataFrame:
+        """Roots and self-loops, which need no further step."""
+        top = F.col("parent_id").isNull()
+        path = [F.when(top, F.array("span_id")).alias("path")] if paths else []
+        return rows.select(*key, F.when(top, F.col("span_id")).otherwise(F.col("low_id")).alias("root_id"), F.when(top, 0).otherwise(-1).alias("depth"), *path)
+
     if paths:
-        root = F.when(F.col("parent_id").isNull(), F.col("span_id")).otherwise(F.col("low_id"))
-        done = active.select(*key, root.alias("root_id"), F.when(F.col("parent_id").isNull(), 0).otherwise(-1).alias("depth"), F.when(F.col("parent_id").isNull(), F.array("span_id")).alias("path"))
+        done = ends(active)
     else:
-        core = active.select("trace_id", "span_id", "parent_id", "dist", "low_id", F.col("trace_id").alias("g"))
-        done = written(core.groupBy("g").applyInArrow(_local(False), _SCHEMA), "hierarchy")
+        # groups that still have links are within the limit now; the others consist of ends, however many
+        small = open_groups().select("trace_id")
+        core = active.join(small, "trace_id", "left_semi").select("trace_id", "span_id", "parent_id", "dist", "low_id", F.col("trace_id").alias("g"))
+        done = written(core.groupBy("g").applyInArrow(_local(False), _SCHEMA).unionByName(ends(active.join(small, "trace_id", "left_anti"))), "hierarchy")
     for gone in reversed(undo):
         above = done.select("trace_id", F.col("span_id").alias("parent_id"), "root_id", F.col("depth").alias("p_depth"), *([F.col("path").alias("p_path")] if paths else []))
         back = gone.join(above, ["trace_id", "parent_id"])
