@@ -94,39 +94,48 @@ def _clean(s: str) -> str:
     return s if s.isascii() else s.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def label(value, scalars: bool = True) -> list[tuple]:
-    """(pre, post, depth, kind, in_array, path, scalar) of every node, by pre-order; without scalars they only take up numbers."""
-    rows: list = []
+def label(value, scalars: bool = True) -> list[list]:
+    """[pre, post, depth, kind, in_array, place of the parent, step from it, scalar] of every node, by pre-order; without scalars these only take up numbers."""
+    rows: list[list] = []
     pre = post = 0
-    # An explicit stack: texts may nest deeper than Python's recursion goes.
-    work: list = [(value, "", 0, False)]
+    # An explicit stack: texts may nest deeper than Python's recursion goes. A single number closes the node at that place.
+    work: list = [(value, -1, "", 0, False)]
     while work:
         item = work.pop()
-        if len(item) == 1:
-            at = item[0]
-            rows[at][1] = post
+        if isinstance(item, int):
+            rows[item][1] = post
             post += 1
             continue
-        v, path, depth, in_array = item
-        if isinstance(v, dict):
-            rows.append([pre, 0, depth, "object", in_array, path, None])
+        v, up, step, depth, in_array = item
+        if isinstance(v, (dict, list)):
+            at = len(rows)
+            is_object = isinstance(v, dict)
+            rows.append([pre, 0, depth, "object" if is_object else "array", in_array, up, step, None])
             pre += 1
-            work.append((len(rows) - 1,))
-            work.extend([(x, f"{path}/{k.replace('~', '~0').replace('/', '~1') if '~' in k or '/' in k else k}", depth + 1, False) for k, x in reversed(v.items())])
-        elif isinstance(v, list):
-            rows.append([pre, 0, depth, "array", in_array, path, None])
-            pre += 1
-            work.append((len(rows) - 1,))
-            work.extend([(x, f"{path}/{i}", depth + 1, True) for i, x in zip(range(len(v) - 1, -1, -1), reversed(v))])
+            work.append(at)
+            if is_object:
+                work.extend([(x, at, k, depth + 1, False) for k, x in reversed(v.items())])
+            else:
+                work.extend([(x, at, i, depth + 1, True) for i, x in zip(range(len(v) - 1, -1, -1), reversed(v))])
         else:
             if scalars:
                 kind = "null" if v is None else "boolean" if isinstance(v, bool) else "scalar"
-                rows.append([pre, post, depth, kind, in_array, path, None if v is None else str(v).lower() if isinstance(v, bool) else v])
+                rows.append([pre, post, depth, kind, in_array, up, step, None if v is None else str(v).lower() if isinstance(v, bool) else v])
             pre += 1
             post += 1
     return rows
 
 
+def pointer(rows: list[list], at: int) -> str:
+    """The JSON Pointer of a node: made only for nodes that are asked for, as those of all nodes of a deep text would be very long together."""
+    steps = []
+    while rows[at][5] >= 0:
+        step = rows[at][6]
+        steps.append(step.replace("~", "~0").replace("/", "~1") if isinstance(step, str) else str(step))
+        at = rows[at][5]
+    return "".join("/" + s for s in reversed(steps))
+
+
 def nearest_container(nodes: list[tuple[int, int]]) -> list[int]:
     """For (pre, post) pairs by pre-order, the place of the innermost pair that contains each, else -1."""
     out, open_ = [], []
@@ -138,6 +147,14 @@ def nearest_container(nodes: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+def listed(value) -> list[tuple[str, str]]:
+    """(path, path of the innermost one around it or '') of the objects that are elements of arrays, found by the containment of their intervals."""
+    rows = label(value, scalars=False)
+    at = [i for i, r in enumerate(rows) if r[4] and r[3] == "object"]
+    paths = [pointer(rows, i) for i in at]
+    return [(p, paths[up] if up >= 0 else "") for p, up in zip(paths, nearest_container([(rows[i][0], rows[i][1]) for i in at]))]
+
+
 def _arrow_text(values: list) -> pa.Array:
     try:
         return pa.array(values, pa.string())
@@ -154,8 +171,9 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value = parse_json(t)
             except ValueError:
                 continue
-            for row in label(value):
-                for c, x in zip(cols, (s, k, f, *row)):
+            rows = label(value)
+            for i, r in enumerate(rows):
+                for c, x in zip(cols, (s, k, f, *r[:5], pointer(rows, i), r[7])):
                     c.append(x)
         yield pa.RecordBatch.from_arrays(
             [*map(_arrow_text, cols[:3]), *(pa.array(c, pa.int32()) for c in cols[3:6]), _arrow_text(cols[6]), pa.array(cols[7], pa.bool_()), _arrow_text(cols[8]), _arrow_text(cols[9])],
@@ -174,9 +192,8 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if not isinstance(value, (dict, list)):
                 continue
-            nodes = [r for r in label(value, scalars=False) if r[4] and r[3] == "object"]
-            for r, up in zip(nodes, nearest_container([(r[0], r[1]) for r in nodes])):
-                for c, x in zip(cols, (s, k, f, r[5], nodes[up][5] if up >= 0 else "")):
+            for path, above in listed(value):
+                for c, x in zip(cols, (s, k, f, path, above)):
                     c.append(x)
         yield pa.RecordBatch.from_arrays([*map(_arrow_text, cols)], names=["src_table", "row_key", "field", "node_path", "parent_path"])
 
