@@ -7,7 +7,8 @@ events is spread like any other. After each batch the entries that changed are a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,32 @@ def _fold(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return both.groupBy("session_id", "event_key").agg(F.sum("n_events").alias("n_events"), F.max("last_us").alias("last_us"), F.sum("duration_ms").alias("duration_ms"))
 
 
+# The state lies on disk, with one bounded cache for all of an executor's partitions.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """The settings for the time in which a query starts, which keeps them; a provider that the session has chosen stays."""
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    own = "spark.sql.streaming.stateStore.providerClass"
+    if before[own] is not None and not before[own].endswith("HDFSBackedStateStoreProvider"):
+        yield
+        return
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def feature_stream(
     events: DataFrame,
     catalog: DataFrame,
@@ -103,8 +130,9 @@ def feature_stream(
         if on_batch:
             on_batch(batch.sparkSession.read.parquet(f"{folder}/features/v{n}"), n)
 
-    q = state.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with _state_on_disk(spark):
+        q = state.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
     last = q.lastProgress
     if last is None:
         return ""
