@@ -62,8 +62,12 @@ def starts_with_any(c: Column, words: Sequence[str]) -> Column:
 
 def is_human_turn(c: Column, min_chars: int = 12) -> Column:
     """Text that a person seems to have typed: long enough, without machine markers and agent prefixes."""
-    t = F.lower(collapse(c))
-    return F.coalesce(F.length(t) >= min_chars, F.lit(False)) & ~contains_any(t, MACHINE_MARKERS) & ~starts_with_any(t, AGENT_PREFIXES)
+
+    def test(t: Column) -> Column:
+        return F.coalesce(F.length(t) >= min_chars, F.lit(False)) & ~contains_any(t, MACHINE_MARKERS) & ~starts_with_any(t, AGENT_PREFIXES)
+
+    # over an array of one, so that the text is collapsed once and not for each comparison
+    return F.element_at(F.transform(F.array(F.lower(collapse(c))), test), 1)
 
 
 def is_live_human_turn(c: Column) -> Column:
