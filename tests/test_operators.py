@@ -9,6 +9,7 @@ from tracequarry.functions import classify as C
 from tracequarry.functions import identity as I
 from tracequarry.functions import text as T
 from tracequarry.functions.literals import as_json
+from tracequarry.functions.slim import slim
 from tracequarry.functions.times import iso_week, parse_time
 from tracequarry.operators import links, metrics, query, transcript, unify
 
@@ -61,6 +62,11 @@ def test_literals(spark):
     assert one(spark, ["{'a': None, 'b': [True]}", '{"a": 1}', "{oops", None, "x"], as_json) == ['{"a": null, "b": [true]}', '{"a": 1}', None, None, None]
 
 
+def test_slim(spark):
+    got = one(spark, ['{"name":"x","a":{"b":"","c":{"d":null}},"e":[{"f":null}],"g":0}', '{"a":{}}', "[1]", "{oops", None], slim)
+    assert got == ['{"e":[{"f":null}],"g":0}', None, "[1]", "{oops", None]
+
+
 def test_search_errors_and_places(spark, make_spans):
     df = make_spans({"name": "n", "input_value": "aXbxc"}, {"input_value": None})
     with pytest.raises(query.PatternError):

@@ -1,0 +1,49 @@
+"""Attributes without what a span's own columns hold already and without empty values."""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+# Top-level keys that repeat columns of the span.
+REPEATED = frozenset(
+    """
+    context.span_id context.trace_id name span_kind start_time end_time status_code status_message parent_id attributes.input.value attributes.output.value attributes.llm.model_name
+    attributes.llm.input_messages attributes.llm.output_messages attributes.llm.token_count.prompt attributes.llm.token_count.completion attributes.llm.token_count.total attributes.openinference.span.kind
+    """.split()
+)
+
+
+def _empty(v) -> bool:
+    return v is None or v in ("", "nan") or isinstance(v, (list, dict)) and not v or isinstance(v, float) and v != v
+
+
+def _strip(v):
+    """Objects are gone through, lists stay as they are; an object of which nothing is left is empty."""
+    if not isinstance(v, dict):
+        return v
+    kept = {k: _strip(x) for k, x in v.items()}
+    return {k: x for k, x in kept.items() if not _empty(x)}
+
+
+def _slim(texts: pd.Series) -> pd.Series:
+    def one(t):
+        try:
+            v = json.loads(t)
+            if not isinstance(v, dict):
+                return t
+            v = _strip({k: x for k, x in v.items() if k not in REPEATED})
+        except (TypeError, ValueError, RecursionError):
+            return t
+        return json.dumps(v, ensure_ascii=False, separators=(",", ":")) if v else None
+
+    return texts.map(one)
+
+
+def slim(raw: Column) -> Column:
+    """A JSON object without repeated and empty values, null if nothing is left; other text as it is. The recursion needs Python, in Arrow batches."""
+    return F.pandas_udf(_slim, StringType())(raw)

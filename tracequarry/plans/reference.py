@@ -13,6 +13,7 @@ from tracequarry.functions import classify as C
 from tracequarry.functions import identity as I
 from tracequarry.functions import text as T
 from tracequarry.functions.literals import as_json
+from tracequarry.functions.slim import slim
 from tracequarry.functions.times import duration_ms, iso_week, parse_time
 from tracequarry.operators import hierarchy, links, metrics, query, transcript, unify
 from tracequarry.plans import fragments as S
@@ -388,6 +389,14 @@ def attributes_as_json(spark, d):
     return _spans(spark, d).select("id", as_json(F.col("raw_attributes")).alias("attributes"))
 
 
+@register()
+def slim_attributes(spark, d):
+    """(source, spans, bytes_before, bytes_after): what attributes weigh with and without repeated and empty values."""
+    s = _spans(spark, d).select("source", F.col("raw_attributes").alias("a"), slim(F.col("raw_attributes")).alias("b"))
+    size = lambda c: F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+    return s.groupBy("source").agg(F.count("*").alias("spans"), size("a").alias("bytes_before"), size("b").alias("bytes_after"))
+
+
 @register()
 def closed_stream_sessions(spark, d):
     """Working sessions by a stream with a watermark: those closed at the end of the data."""
