@@ -52,3 +52,28 @@ def test_empty_and_descendants(spark):
     assert hierarchy.hierarchy(df.limit(0)).count() == 0
     got = {(r.span_id, r.descendant_id, r.distance) for r in hierarchy.descendants(df).collect()}
     assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+
+
+def pairs(rows, around):
+    parent = {k: None if v[2] and len(v[2]) == 1 else min(p for t, s, p in rows if (t, s) == k and p is not None) for k, v in brute(rows).items()}
+    out = set()
+    for t, s in parent:
+        seen, x, far = {s}, parent[t, s], 1
+        while x is not None and x not in seen:
+            out.add((t, x, s, far))
+            seen.add(x)
+            x, far = parent[t, x], far + 1
+        if x == s and not around:  # s lies on a circle
+            out -= {o for o in out if o[0] == t and o[2] == s}
+    return out
+
+
+@pytest.mark.parametrize("limit", [100_000, 12])
+@pytest.mark.parametrize("around", [False, True])
+def test_descendants_below_circles(spark, limit, around):
+    chain = [("chain", f"c{i:03d}", f"c{i - 1:03d}" if i else "c004") for i in range(5)] + [("chain", "x", "c002"), ("chain", "y", "x"), ("chain", "y", "z"), ("chain", "z", "y2")]
+    rows = forest(3, 60, 3) + chain + [("self", "a", "a"), ("self", "b", "a"), ("self", "c", "b")]
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string")
+    got = [tuple(r) for r in hierarchy.descendants(df, around=around, limit=limit, task_nodes=50).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs(rows, around)
+    assert ("chain", "c002", "y", 2) in got and ("chain", "c003", "y", 6) in got and ("self", "a", "c", 2) in got

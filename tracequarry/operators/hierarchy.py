@@ -237,8 +237,54 @@ def hierarchy(links: DataFrame, *, paths: bool = False, limit: int = LOCAL_LIMIT
     return out
 
 
-def descendants(links: DataFrame, **kw) -> DataFrame:
-    """(trace_id, span_id, descendant_id, distance): every node with each node below it; nodes on or below circles are left out."""
-    h = hierarchy(links, paths=True, **kw).filter("depth > 0")
-    x = h.select("trace_id", F.col("span_id").alias("descendant_id"), "depth", F.posexplode(F.slice("path", 1, F.col("depth"))).alias("at", "span_id"))
-    return x.select("trace_id", "span_id", "descendant_id", (F.col("depth") - F.col("at")).alias("distance"))
+def _rings(links: DataFrame, lost: DataFrame, **kw) -> DataFrame:
+    """(trace_id, span_id, depth, path, ring) of the nodes on and below circles, lost (trace_id, span_id, root_id): each circle is cut above its smallest node, root_id, from where path and depth count; ring is the circle from there downward."""
+    rows = links.select("trace_id", "span_id", "parent_id").join(lost, ["trace_id", "span_id"])
+    core = F.col("span_id") == F.col("root_id")
+    cut = written(hierarchy(rows.withColumn("parent_id", F.when(~core, F.col("parent_id"))), paths=True, **kw), "hierarchy")
+    last = rows.filter(core).groupBy("trace_id", "root_id").agg(F.min("parent_id").alias("span_id"))
+    ring = last.join(cut.select("trace_id", "span_id", F.col("path").alias("ring")), ["trace_id", "span_id"]).drop("span_id")
+    return cut.join(ring, ["trace_id", "root_id"]).select("trace_id", "span_id", "depth", "path", "ring")
+
+
+def descendants(links: DataFrame, *, around: bool = False, **kw) -> DataFrame:
+    """(trace_id, span_id, descendant_id, distance): every node with each other node below it, once, with the least distance.
+
+    A node below a circle has the nodes between and all nodes of the circle above it. The nodes of a circle lie above and below each other;
+    such pairs are given only with `around`. No node is its own descendant.
+    """
+    h = written(hierarchy(links, paths=True, **kw), "hierarchy")
+    tree = h.filter("depth > 0").select("trace_id", F.col("span_id").alias("descendant_id"), "depth", F.col("depth").alias("turn"), F.slice("path", 1, F.col("depth")).alias("above"))
+    lost = h.filter("depth < 0").select("trace_id", "span_id", "root_id")
+    below = _rings(links, lost, **kw).withColumn("_on", F.size(F.array_intersect("path", "ring")))  # path begins with so many nodes of the ring
+    if not around:
+        below = below.filter("depth >= _on")
+    # the walk upward goes along the path, then on from the last node of the ring to the one below the path's own part
+    tail = F.slice("ring", F.col("_on") + 1, F.size("ring") - F.col("_on"))
+    turn = F.col("depth") + F.size("ring") - F.col("_on")
+    below = below.select("trace_id", F.col("span_id").alias("descendant_id"), "depth", turn.alias("turn"), F.concat(F.slice("path", 1, F.col("depth")), tail).alias("above"))
+    x = tree.unionByName(below).select("trace_id", "descendant_id", "depth", "turn", F.posexplode("above").alias("at", "span_id"))
+    # place `at` of the tail, counted from depth, is turn - at + depth edges above
+    far = F.when(F.col("at") < F.col("depth"), F.col("depth") - F.col("at")).otherwise(F.col("depth") + F.col("turn") - F.col("at"))
+    return x.select("trace_id", "span_id", "descendant_id", far.cast("int").alias("distance"))
+
+
+def nearest_above(links: DataFrame, marked: DataFrame, *, levels: int) -> DataFrame:
+    """(trace_id, span_id, above_id, distance): each node of links with the nearest node of marked (trace_id, span_id) at most `levels` edges above it, whatever lies further up.
+
+    The stretch that is searched doubles each round, so a node holds one link and one find, and circles need no care. Nodes count as in hierarchy().
+    """
+    key = ["trace_id", "span_id"]
+    rows = links.filter("trace_id IS NOT NULL AND span_id IS NOT NULL").groupBy(*key).agg(F.min("parent_id").alias("at"))
+    marks = marked.select(*key).distinct().withColumn("_marked", F.lit(True))
+    now = written(rows.join(marks, key, "left"), "above")
+    up = now.select("trace_id", F.col("span_id").alias("at"), F.lit(True).alias("_known"), F.col("_marked").alias("_hit"))
+    hit = F.col("_hit").isNotNull()
+    now = now.join(up, ["trace_id", "at"], "left").select(*key, F.when(F.col("_known"), F.col("at")).alias("at"), F.when(hit, F.col("at")).alias("above_id"), F.when(hit, 1).alias("distance"))
+    reach = 1
+    while reach < levels:
+        now = written(now, "above")
+        up = now.select("trace_id", F.col("span_id").alias("at"), F.col("at").alias("_at"), F.col("above_id").alias("_above"), F.col("distance").alias("_far"))
+        now = now.join(up, ["trace_id", "at"], "left").select(*key, F.col("_at").alias("at"), F.coalesce("above_id", "_above").alias("above_id"), F.coalesce("distance", F.col("_far") + reach).alias("distance"))
+        reach *= 2
+    return now.filter(F.col("distance") <= levels).select(*key, "above_id", "distance")

@@ -39,7 +39,8 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(table(spark, d, "spans"))
+    """All descendants of every span. Spans of a circle are above and below each other and above all that hangs below the circle."""
+    return hierarchy.descendants(table(spark, d, "spans"), around=True)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
