@@ -77,3 +77,34 @@ def test_descendants_below_circles(spark, limit, around):
     got = [tuple(r) for r in hierarchy.descendants(df, around=around, limit=limit, task_nodes=50).collect()]
     assert len(got) == len(set(got)) and set(got) == pairs(rows, around)
     assert ("chain", "c002", "y", 2) in got and ("chain", "c003", "y", 6) in got and ("self", "a", "c", 2) in got
+
+
+@pytest.mark.parametrize("levels", [1, 5, 15])
+def test_nearest_above_equals_climbing(spark, levels):
+    rows = forest(5, 120, 3) + [("chain", f"c{i:03d}", f"c{i - 1:03d}" if i else "c019") for i in range(20)] + [("chain", f"k{i:03d}", f"k{i - 1:03d}" if i else "c002") for i in range(20)]
+    marks = {(t, s) for t, s, _ in rows if t and s and (s in ("c000", "self") or s[0] == "s" and s[-1] == "3")}
+    parent = {k: min(p for t, s, p in rows if (t, s) == k and p is not None) if any((t, s) == k and p is not None for t, s, p in rows) else None for k in brute(rows)}
+    want = set()
+    for t, s in parent:
+        x = s
+        for far in range(1, levels + 1):
+            x = parent[t, x]
+            if x is None or (t, x) not in parent:
+                break
+            if (t, x) in marks:
+                want.add((t, s, x, far))
+                break
+    links = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string")
+    got = [tuple(r) for r in hierarchy.nearest_above(links, spark.createDataFrame(sorted(marks), "trace_id string, span_id string"), levels=levels).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert levels < 3 or ("chain", "c002", "c000", 2) in got and ("chain", "k000", "c000", 3) in got
+    assert not any(s == "k018" for _, s, _, _ in got)
+
+
+def test_task_above_on_circle(spark, make_spans, tmp_path):
+    from tracequarry.plans import reference
+
+    task, llm = {"trace_id": "t", "name": "Claude_Code_Tool_Task"}, {"trace_id": "t", "name": "litellm_request"}
+    make_spans({**task, "span_id": "a", "parent_id": "b"}, {**llm, "span_id": "b", "parent_id": "a"}, {**llm, "span_id": "c", "parent_id": "b"}, {**llm, "span_id": "d"}, {**task, "span_id": "e", "parent_id": "c"}, {**llm, "span_id": "f", "parent_id": "e"}).write.parquet(str(tmp_path / "spans.parquet"))
+    got = {(r.span_id, r.task_id, r.distance) for r in reference.nearest_task_ancestor(spark, str(tmp_path)).collect()}
+    assert got == {("b", "a", 1), ("c", "a", 2), ("f", "e", 1)}

@@ -503,17 +503,13 @@ def parent_child_names(spark, d):
     SELECT u.trace_id, u.span_id, s.span_id AS task_id, u.depth AS distance FROM up u JOIN s ON s.trace_id = u.trace_id AND s.span_id = u.at AND s.name = 'Claude_Code_Tool_Task'
 """)
 def nearest_task_ancestor(spark, d):
-    """The nearest Task at most 15 levels above each LLM request."""
+    """The nearest Task at most 15 levels above each LLM request, circles or not."""
     s = _spans(spark, d).filter("trace_id IS NOT NULL")
     names = s.groupBy("trace_id", "span_id").agg(F.min("name").alias("name"))
-    pairs = hierarchy.descendants(s).filter("distance <= 15")
-    task = names.filter("name = 'Claude_Code_Tool_Task'").select("trace_id", "span_id")
-    llm = names.filter(F.col("name").isin("litellm_request", "raw_gen_ai_request")).select("trace_id", F.col("span_id").alias("descendant_id"))
-    near = pairs.join(task, ["trace_id", "span_id"]).join(llm, ["trace_id", "descendant_id"]).groupBy("trace_id", "descendant_id").agg(F.min_by("span_id", "distance").alias("task_id"), F.min("distance").alias("distance"))
-    return near.select("trace_id", F.col("descendant_id").alias("span_id"), "task_id", "distance")
-
-
-SQL.pop("nearest_task_ancestor")  # spans on and below circles are walked differently there; the tests hold it against brute force
+    task = names.filter("name = 'Claude_Code_Tool_Task'")
+    llm = names.filter(F.col("name").isin(*S.LLM_NAMES)).select("trace_id", "span_id")
+    near = hierarchy.nearest_above(s, task, levels=15).join(llm, ["trace_id", "span_id"], "left_semi")
+    return near.select("trace_id", "span_id", F.col("above_id").alias("task_id"), "distance")
 
 
 @register("""
