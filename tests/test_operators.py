@@ -131,6 +131,19 @@ def test_containment_of_copies(spark):
     assert got == {(1, 2, 100.0, "complete"), (4, 1, 50.0, "keep_both"), (4, 2, 50.0, "keep_both")}
 
 
+def test_members_of_containment_classes(spark):
+    a, b, c = "the first long line", "the second long line", "one more long line"
+    docs = {1: f"{a}\n{b}", 2: f"{a}\n{b}\n{c}", 3: f"{a}\n{b}", 4: f"{b.upper()}\n{a}\n{a}", 5: f"{b.upper()}\n{a}\n{a}", 6: "short", 7: "short", 8: None, 9: f"{a}\n{b}\nshort", 10: f"{c}\n{b}\n{a}"}
+    texts = spark.createDataFrame(list(docs.items()), "id long, text string")
+    chunks = texts.select("id", F.explode(F.split("text", "\n")).alias("chunk")).filter("length(chunk) > 10")
+    got = {tuple(r) for r in links.containment_classes(texts, chunks).collect()}
+    assert got == {
+        (1, 1, 1, 2, "representative"), (3, 1, 1, 2, "copy"), (4, 1, 4, 2, "complete"), (5, 1, 4, 2, "copy"), (9, 1, 9, 2, "complete"),
+        (2, 2, 2, 3, "representative"), (10, 2, 10, 3, "complete"), (6, None, 6, 0, None), (7, None, 6, 0, None), (8, None, None, 0, None),
+    }
+    assert {(r.child, r.parent) for r in links.containment(chunks).collect()} == {(1, 2)}
+
+
 def test_transcript_events(spark):
     from tracequarry.sources.schemas import LINE
 

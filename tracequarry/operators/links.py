@@ -65,14 +65,34 @@ def interval_gaps(merged: DataFrame, *, key: str, start: str, end: str) -> DataF
     return merged.withColumn("gap_end", F.lead(start).over(w)).filter("gap_end IS NOT NULL").select(key, F.col(end).alias("gap_start"), "gap_end")
 
 
+def _chunk_sets(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, h) of the distinct chunks, and (id, n, s): how many an id has and what ids with the same chunks share."""
+    h = chunks.filter("chunk IS NOT NULL").select(F.col("id"), F.unhex(T.content_hash(F.col("chunk"))).alias("h")).distinct()
+    return h, h.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("s"))
+
+
+def containment_classes(texts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, class_id, text_id, chunks, relation): each id of texts(id, text) with the representative of its class in containment(chunks).
+
+    text_id is the least id with exactly this text. relation is representative; copy, the text being that of text_id; complete, where the text differs from that of every
+    lesser id but the chunks are the representative's. Members of a class with different text_id are complete subsets of each other, both ways. Without chunks there is no class and no relation.
+    """
+    _, sig = _chunk_sets(chunks)
+    rep = sig.groupBy("n", "s").agg(F.min("id").alias("class_id"))
+    member = sig.join(rep, ["n", "s"]).select("id", "class_id", "n")
+    t = texts.select("id", F.sha2("text", 256).alias("t"))
+    first = t.filter("t IS NOT NULL").groupBy("t").agg(F.min("id").alias("text_id"))
+    relation = F.when(F.col("id") == F.col("class_id"), "representative").when(F.col("class_id").isNotNull(), F.when(F.col("id") == F.col("text_id"), "complete").otherwise("copy"))
+    return t.join(first, "t", "left").join(member, "id", "left").select("id", "class_id", "text_id", F.coalesce("n", F.lit(0)).alias("chunks"), relation.alias("relation"))
+
+
 def containment(chunks: DataFrame, *, complete: float = 95.0, review: float = 80.0, least: float = 50.0) -> DataFrame:
     """(child, parent, overlap, relation): of chunks(id, chunk) which ids' chunks lie in another's, in percent of the child's distinct chunks.
 
     Compared are ids that share a chunk, the child having no more chunks than the parent (ties by id); relation is complete, review or keep_both; below `least` nothing is said.
-    Ids with the same chunks are one class with its least id as representative, so copies give no pairs among themselves.
+    Ids with the same chunks are one class with its least id as representative, so copies give no pairs among themselves; containment_classes() has the members.
     """
-    h = chunks.filter("chunk IS NOT NULL").select(F.col("id"), T.content_hash(F.col("chunk")).alias("h")).distinct()
-    sig = h.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("h").cast("decimal(38,0)")).alias("s"))
+    h, sig = _chunk_sets(chunks)
     rep = sig.groupBy("n", "s").agg(F.min("id").alias("id"))
     r = h.join(rep.select("id", "n"), "id")
     a, b = r.alias("a"), r.alias("b")

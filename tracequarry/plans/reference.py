@@ -630,8 +630,27 @@ def chain_length_histogram(spark, d):
         SELECT a.id AS child, b.id AS parent, round(100.0 * count(*) / a.n, 2) AS overlap FROM x a JOIN x b ON a.h = b.h AND (a.n < b.n OR a.n = b.n AND a.id < b.id) GROUP BY a.id, b.id, a.n) WHERE overlap >= 50
 """)
 def contained_documents(spark, d):
+    """Pairs of the representatives of classes; contained_document_classes has every document's class."""
+    return links.containment(_document_lines(spark, d))
+
+
+def _document_lines(spark, d):
     t = table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("chunk"))
-    return links.containment(t.filter(F.length(T.strip(F.col("chunk"))) > 10))
+    return t.filter(F.length(T.strip(F.col("chunk"))) > 10)
+
+
+@register("""
+    WITH c AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS chunk FROM documents),
+    h AS (SELECT DISTINCT id, lower(regexp_replace(chunk, '^\\s+|\\s+$', '', 'g')) AS h FROM c WHERE length(regexp_replace(chunk, '^\\s+|\\s+$', '', 'g')) > 10),
+    g AS (SELECT id, count(*) AS n, list_sort(list(h)) AS s FROM h GROUP BY 1), m AS (SELECT id, n, min(id) OVER (PARTITION BY s) AS class_id FROM g),
+    t AS (SELECT doc_id, CASE WHEN text IS NOT NULL THEN min(doc_id) OVER (PARTITION BY text) END AS text_id FROM documents)
+    SELECT doc_id, class_id, text_id, coalesce(n, 0) AS chunks, CASE WHEN doc_id = class_id THEN 'representative' WHEN class_id IS NULL THEN NULL WHEN doc_id = text_id THEN 'complete' ELSE 'copy' END AS relation
+    FROM t LEFT JOIN m ON m.id = t.doc_id
+""")
+def contained_document_classes(spark, d):
+    """One row per document: its class, whose representative stands for it in contained_documents, and whether its text is a copy or differs."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return links.containment_classes(texts, _document_lines(spark, d)).withColumnRenamed("id", "doc_id")
 
 
 @register()
