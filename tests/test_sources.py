@@ -98,3 +98,20 @@ def test_stream_sessions_equal_batch(spark, make_spans, tmp_path):
     assert sorted(r.spans for r in got.collect()) == [1, 2]
     batch = live.session_windows(df.dropDuplicates(["span_id"]))
     assert sorted(r.spans for r in batch.collect()) == [1, 1, 2]
+
+
+def test_stored_sessions_do_not_depend_on_batches(spark, make_spans, tmp_path):
+    at = lambda h: datetime.fromtimestamp(T[0].timestamp() + 3600 * h, timezone.utc)
+    hours = [[240, 0], [100.2, 5.2], [0.3, 200], [5, 100], [50, 150], [240, 0.1]]  # each a file; far from the order of time
+    spans = [[{"user_id": "u", "trace_id": "t", "span_id": f"{h}", "start_time": at(h)} for h in f] for f in hours]
+    for f in spans:
+        make_spans(*f).drop("id").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    batch = live.session_windows(make_spans(*sum(spans, [])).dropDuplicates(["span_id"]))
+    end = at(240).timestamp() - 86_400 - 1800
+    want = sorted((r.start_time, r.end_time, r.spans) for r in batch.collect() if r.end_time.timestamp() <= end)
+    assert [n for _, _, n in want] == [3, 2, 1, 2, 1, 1]
+    for n in (1, 2, 64):
+        got = live.stored_sessions(spark, str(tmp_path / "in"), str(tmp_path / f"out{n}"), files_per_batch=n)
+        assert sorted((r.start_time, r.end_time, r.spans) for r in got.collect()) == want
+    with pytest.warns(UserWarning, match="late"):
+        live.closed_sessions(spark, str(tmp_path / "in"), str(tmp_path / "live"), files_per_batch=1)

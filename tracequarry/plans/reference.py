@@ -17,7 +17,7 @@ from tracequarry.functions.slim import slim
 from tracequarry.functions.times import duration_ms, iso_week, parse_time
 from tracequarry.operators import hierarchy, links, metrics, query, transcript, unify
 from tracequarry.plans import fragments as S
-from tracequarry.session import scratch, stream_path, table
+from tracequarry.session import scratch, table
 from tracequarry.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,7 +400,7 @@ def slim_attributes(spark, d):
 @register()
 def closed_stream_sessions(spark, d):
     """Working sessions by a stream with a watermark: those closed at the end of the data."""
-    return live.closed_sessions(spark, stream_path(spark, f"{d}/spans.parquet"), scratch(spark, "closed-sessions"))
+    return live.stored_sessions(spark, f"{d}/spans.parquet", scratch(spark, "closed-sessions"))
 
 
 # Deduplication and merges
