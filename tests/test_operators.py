@@ -160,3 +160,13 @@ def test_transcript_events(spark):
     assert [r.tools for r in transcript.top_tools(ls).collect()] == ["Read=2,Task=1"]
     assert "### Tool: `Read`" in transcript.markdown(transcript.events(ls)).filter("order_idx = 2").first().block
     assert transcript.events(transcript.lines(df.limit(0))).count() == 0
+
+
+def test_markdown_is_whole(spark):
+    long = "x" * 2500 + " end"
+    kinds = [("user", None), ("assistant", None), ("compaction", None), ("tool", "Read"), ("subagent", "Task")]
+    rows = [("s", i, k, long, t) for i, (k, t) in enumerate(kinds)] + [("s", 5, "tool", "short", "Read"), ("s", 6, "tool", "y" * 2000, "Read"), ("s", 7, "tool", None, None), ("s", 8, "tool", long, None)]
+    got = transcript.markdown(spark.createDataFrame(rows, "session_id string, order_idx int, event_type string, text string, tool_name string")).orderBy("order_idx").collect()
+    assert [long in r.block for r in got[:5]] == [True, True, True, False, False]
+    assert [r.full_result for r in got] == [None, None, None, long, long, None, None, None, long]
+    assert "short" in got[5].block and "y" * 2000 in got[6].block

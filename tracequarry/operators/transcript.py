@@ -106,9 +106,15 @@ def top_tools(ls: DataFrame, n: int = 8) -> DataFrame:
 
 
 def markdown(ev: DataFrame, *, limit: int = 2000) -> DataFrame:
-    """(session_id, order_idx, block): an event as a piece of Markdown; pieces of a session in order make its document."""
+    """(session_id, order_idx, block, full_result): an event as a piece of Markdown; pieces of a session in order make its document.
+
+    Texts of users, assistants and compactions are whole. A tool's result stands in its piece with its first `limit` characters; where that shortens it, full_result has all of it, else null.
+    """
     head = F.initcap("event_type")
+    tool = F.col("event_type").isin("tool", "subagent")
     title = F.when(F.col("tool_name").isNotNull(), F.concat(F.lit("### "), head, F.lit(": `"), F.col("tool_name"), F.lit("`"))).otherwise(F.concat(F.lit("## "), head))
-    body = T.truncate(T.strip(T.strip_reminders(F.coalesce("text", F.lit("")))), limit)
+    whole = T.strip(T.strip_reminders(F.coalesce("text", F.lit(""))))
+    body = F.when(tool, T.truncate(whole, limit)).otherwise(whole)
     body = F.when(F.col("tool_name").isNotNull(), F.concat(F.lit("```\n"), body, F.lit("\n```"))).otherwise(body)
-    return ev.select("session_id", "order_idx", F.concat(title, F.lit("\n\n"), body, F.lit("\n")).alias("block"))
+    full = F.when(tool & (F.length(whole) > limit), F.col("text"))
+    return ev.select("session_id", "order_idx", F.concat(title, F.lit("\n\n"), body, F.lit("\n")).alias("block"), full.alias("full_result"))
