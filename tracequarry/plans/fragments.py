@@ -60,6 +60,8 @@ COMPACTION = f"""
     FROM (SELECT doc_id, text, CASE WHEN {_any(_LOW, C.SUMMARY_HEADERS)} THEN 35 ELSE 0 END + CASE WHEN {_WORDS} >= 2 THEN 25 WHEN {_WORDS} = 1 THEN 10 ELSE 0 END
                  + CASE WHEN length(text) >= 5000 THEN 20 WHEN length(text) >= 2500 THEN 10 ELSE 0 END + 10 AS score FROM documents)
 """
+# the same over spans, whose name counts
+SPAN_COMPACTION = COMPACTION.replace(" + 10 AS score FROM documents", f" + CASE WHEN {_any(_N, C.COMPACTION_SPANS)} THEN 10 ELSE 0 END AS score FROM (SELECT id AS doc_id, coalesce(input_value, '') AS text, name FROM spans)")
 
 _MS = "(epoch_us(end_time) - epoch_us(start_time)) / 1000.0"
 TOOL_STATS = f"""

@@ -180,6 +180,13 @@ def compactions(spark, d):
     return table(spark, d, "documents").select("doc_id", c.alias("c")).filter("c IS NOT NULL").select("doc_id", "c.kind", F.round("c.confidence", 4).alias("confidence"))
 
 
+@register(f"SELECT doc_id AS id, kind, confidence FROM ({S.SPAN_COMPACTION}) WHERE kind IS NOT NULL")
+def span_compactions(spark, d):
+    """The spans whose input is a compaction, by their input and name."""
+    c = C.compaction(F.col("input_value"), F.col("name"))
+    return _spans(spark, d).select("id", c.alias("c")).filter("c IS NOT NULL").select("id", "c.kind", F.round("c.confidence", 4).alias("confidence"))
+
+
 @register(f"""
     SELECT session_id, count(*) AS span_count, count(*) FILTER (category = 'main' OR (category <> 'haiku_holdover' AND (contains(coalesce(name, ''), 'Internal_Prompt') OR contains(coalesce(name, ''), 'Final_Output')))) AS turn_count,
            count(*) FILTER (category = 'tools') AS tool_call_count, count(*) FILTER (upper(coalesce(status_code, '')) IN ('ERROR', 'FAILED', 'FAILURE')) AS failure_count,
