@@ -31,6 +31,21 @@ def test_incremental_equals_all_at_once(spark, tmp_path):
     assert w.total_events == 8 and w.n_events["user"] == 2
 
 
+def test_redelivery_with_another_duration(spark, tmp_path):
+    catalog = spark.createDataFrame([("Read",)], "tool_name string")
+    e = lambda i, ms, at=1: dict(session_id="s", event_id=f"e{i}", event_type="tool", timestamp=T[at], tool_name="Read", duration_ms=ms)
+    batches = [[e(1, 5), e(2, None), e(3, -1), e(4, 9), e(5, 8)], [e(1, 7), e(1, 6), e(2, 3), e(4, 2), e(6, 1)], [e(1, 12), e(2, 1), e(3, 4), e(5, None), e(4, 9)], [e(1, 11, 2)]]
+    path, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    read = lambda f: [(r.n_events, r.last_us, r.duration_ms) for r in features.event_features(spark, path, catalog, folder=f).collect()]
+    got = []
+    for rows in batches:
+        write(spark, path, rows)
+        got += read(folder)
+    us = lambda t: int(t.timestamp() * 1e6)
+    assert got == [(5, us(T[1]), 22), (6, us(T[1]), 28), (6, us(T[1]), 37), (6, us(T[2]), 37)]
+    assert read(str(tmp_path / "again")) == got[-1:]
+
+
 def test_empty(spark, tmp_path):
     write(spark, str(tmp_path / "in"), [])
     assert features.event_features(spark, str(tmp_path / "in"), spark.createDataFrame([("Read",)], "tool_name string"), folder=str(tmp_path / "f")).count() == 0

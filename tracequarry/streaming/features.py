@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracequarry.session import scratch, stream_path
+from tracequarry.session import scratch, stream_path, written
 
 EVENTS = (
     "session_id string, event_id string, parent_event_id string, order_idx int, timestamp timestamp, event_type string, text string, "
@@ -95,6 +95,9 @@ def _state_on_disk(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+_DURATIONS = "session_id string, event_key string, event_id string, ms long"
+
+
 def feature_stream(
     events: DataFrame,
     catalog: DataFrame,
@@ -104,7 +107,7 @@ def feature_stream(
 ) -> str:
     """Runs the stream `events` to the end of what is there now; the folder of the newest feature table (session_id, event_key, n_events, last_us, duration_ms).
 
-    folder holds the checkpoint and the table's versions, so a later call goes on where this one ended; a batch that is run again after a failure
+    folder holds the checkpoint, the table's versions and, for each batch, the durations that it raised, so a later call goes on where this one ended; a batch that is run again after a failure
     reads the version before it and writes its own anew. Rows with null session_id are left out. n_events counts distinct event_id (rows without
     one are left out), last_us is the latest timestamp (null if there is none), duration_ms the sum over events of the longest duration that isn't negative.
     """
@@ -113,22 +116,31 @@ def feature_stream(
     duration = F.when(F.col("duration_ms") >= 0, F.col("duration_ms"))
     seen = keyed.select("session_id", "event_key", "event_id", F.unix_micros("timestamp").alias("us"), duration.alias("ms"), F.current_timestamp().alias("at"))
     # the state: for each event when it was first and last seen, and what it adds to the totals
-    state = seen.groupBy("session_id", "event_key", "event_id").agg(
-        F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max("us").alias("us"), F.max("ms").alias("ms"), F.min(F.struct("at", F.coalesce(-F.col("ms"), F.lit(0)).alias("ms"))).alias("first")
-    )
+    state = seen.groupBy("session_id", "event_key", "event_id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max("us").alias("us"), F.max("ms").alias("ms"))
+    event = ["session_id", "event_key", "event_id"]
 
     def upsert(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
         new = F.col("first_at") == F.col("last_at")
-        # an event adds its count and duration in the batch that first brings it; a redelivered one can only move the last time
-        delta = batch.groupBy("session_id", "event_key").agg(
-            F.count_if(new).alias("n_events"), F.max("us").alias("last_us"), F.coalesce(F.sum(F.when(new, -F.col("first.ms"))), F.lit(0)).alias("duration_ms")
-        )
+        # an event adds its count in the batch that first brings it, and in each what its longest duration has grown by; those before are in the batches' logs
+        batch = written(batch, "changed")
+        log = f"{folder}/durations/v{n}"
+        known = [f"{folder}/durations/v{i}" for i in range(n)]
+        if n > 0:
+            again = batch.filter(~new).select(*event)
+            past = spark.read.schema(_DURATIONS).parquet(*known).join(again, event, "left_semi").groupBy(*event).agg(F.max("ms").alias("before"))
+            batch = batch.join(past, event, "left")
+        else:
+            batch = batch.withColumn("before", F.lit(None).cast("long"))
+        more = F.coalesce("ms", F.lit(0)) - F.coalesce("before", F.lit(0))
+        batch.filter(more > 0).select(*event, "ms").write.mode("overwrite").parquet(log)
+        delta = batch.groupBy("session_id", "event_key").agg(F.count_if(new).alias("n_events"), F.max("us").alias("last_us"), F.sum(more).alias("duration_ms"))
         old = None
         if n > 0:
-            old = batch.sparkSession.read.parquet(f"{folder}/features/v{n - 1}")
+            old = spark.read.parquet(f"{folder}/features/v{n - 1}")
         _fold(old, delta).write.mode("overwrite").parquet(f"{folder}/features/v{n}")
         if on_batch:
-            on_batch(batch.sparkSession.read.parquet(f"{folder}/features/v{n}"), n)
+            on_batch(spark.read.parquet(f"{folder}/features/v{n}"), n)
 
     with _state_on_disk(spark):
         q = state.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
