@@ -202,3 +202,37 @@ def test_text_types(spark):
     assert all(got[i].prose_share > 0.5 for i in (1, 9, 100)) and all(got[i].prose_share < 0.5 for i in (2, 3, 4, 5, 8, 10))
     assert got[4].text_type == "junk" and got[8].prose_share == 0 and got[1].word_count == 29
     assert quality.text_types(df.limit(0)).count() == 0
+
+
+def test_accuracies_are_learned_from_agreements():
+    """Votes drawn with known accuracies: all start alike, and the learned ones come near the true ones; one round does not."""
+    r = np.random.default_rng(5)
+    kinds = r.choice(4, 40_000, p=[0.6, 0.15, 0.15, 0.1])
+    patterns = np.zeros(len(kinds), np.int64)
+    true, noisy = {}, ("symbols", "two_words", "packed", "beginning")
+    for i, (f, values) in enumerate(quality.FUNCTIONS.items()):
+        silent = [j for j, k in enumerate(values.values()) if not k] or [0]
+        pick = np.full(len(kinds), silent[0])
+        for j, k in enumerate(values.values()):
+            if k:
+                inside = np.isin(kinds, [quality.TYPES.index(t) for t in k.split()])
+                pick = np.where(r.random(len(kinds)) < np.where(inside, 0.6, 0.3 if f in noisy else 0.005), j, pick)
+        for j, k in enumerate(values.values()):
+            if k:
+                true[f, list(values)[j]] = np.isin(kinds[pick == j], [quality.TYPES.index(t) for t in k.split()]).mean()
+        patterns += pick * quality._BASE[i]
+    seen, at, n = np.unique(patterns, return_inverse=True, return_counts=True)
+    error = {}
+    for rounds in (1, 30):
+        post, acc = quality.learn(seen, n.astype(float), rounds=rounds)
+        error[rounds] = ((post[at].argmax(1) == 0) != (kinds == 0)).mean()
+    off = {k: (round(acc[k], 2), round(float(true[k]), 2)) for k in acc if abs(acc[k] - true[k]) > 0.1}
+    assert set(acc) == set(true) and not [k for k in off if quality.FUNCTIONS[k[0]][k[1]] in ("prose", "list table junk")], off
+    assert error[30] < error[1] / 4
+
+
+def test_accuracies_of_a_corpus(spark):
+    df = spark.createDataFrame([(1, "We saw that the parser was late, and it could not say why.\n" * 2), (2, "- one\n- two")], "doc_id long, text string")
+    got = {(r.function, r.value): r for r in quality.vote_accuracies(df).collect()}
+    assert got["marker", "item"].chars == 10 and all(0 <= r.accuracy <= 1 for r in got.values())
+    assert all(r.chars == 0 for r in quality.vote_accuracies(df.limit(0)).collect())

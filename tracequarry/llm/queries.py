@@ -53,8 +53,13 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_types(table(spark, d, "documents"))
 
 
+def p10_accuracies(spark: SparkSession, d: str) -> DataFrame:
+    """How accurate each vote of the labelling functions was found to be."""
+    return quality.vote_accuracies(table(spark, d, "documents"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_types(table(spark, d, "documents")).filter("prose_share < 0.5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_corrected, p6_found, p6_redacted, p7_found, p7_share, p8_found, p8_containers, p9_found, p10_stats, p10_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_corrected, p6_found, p6_redacted, p7_found, p7_share, p8_found, p8_containers, p9_found, p10_stats, p10_accuracies, p10_found)}
