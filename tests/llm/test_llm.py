@@ -106,7 +106,7 @@ def test_tokens_of_odd_texts(spark):
 # Contamination
 
 
-def test_leaks_equal_brute_force(spark):
+def test_leaks_equal_brute_force(spark, monkeypatch):
     r = random.Random(3)
     w = lambda n: [r.choice("alpha beta gamma delta eins zwei drei fünf 7 42".split()) + str(r.randrange(30)) for _ in range(n)]
     items = {i: w(r.choice([5, 12, 13, 30])) for i in range(8)}
@@ -123,14 +123,36 @@ def test_leaks_equal_brute_force(spark):
     want = {(d, i) for d, t in docs.items() for i, p in items.items() if grams(t) & grams(" ".join(p))}
     got = {tuple(x) for x in contamination.leaked(df, ev).collect()}
     assert got == want and want
-    old, contamination.BROADCAST_WINDOWS = contamination.BROADCAST_WINDOWS, -1
-    try:
-        assert {tuple(x) for x in contamination.leaked(df, ev).collect()} == want
-    finally:
-        contamination.BROADCAST_WINDOWS = old
+    monkeypatch.setattr(contamination, "ITEM_CHARS", -1)
+    assert {tuple(x) for x in contamination.leaked(df, ev).collect()} == want
     assert contamination.leaked(df.limit(0), ev).count() == 0 and contamination.leaked(df, ev.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chars", [200_000, -1])
+def test_two_passages_of_an_item(spark, monkeypatch, chars):
+    """A run over the end of one passage and the begin of another is no leak, whichever way is taken."""
+    monkeypatch.setattr(contamination, "ITEM_CHARS", chars)
+    one, two = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    docs = {1: one[-20:] + " " + two[:20], 2: one, 3: two, 4: " ".join((one + " " + two).split()[12:30]), 5: ("w " * 40).strip()}
+    ev = spark.createDataFrame([(7, one), (7, two), (7, one), (8, "w " * 13), (None, one)], "item_id long, passage string")
+    df = spark.createDataFrame([*docs.items(), (2, one), (None, one)], "doc_id long, text string")
+    assert sorted(tuple(x) for x in contamination.leaked(df, ev).collect()) == [(2, 7), (3, 7), (5, 8)]
+
+
+def test_contained_queries_share_a_minhash():
+    """Every window of a long text is found in its pieces, also where words come again and where the text is cut into parts."""
+    r = random.Random(6)
+    text = " ".join(r.choice(["one", "two", f"w{r.randrange(400)}"]) for _ in range(3000))
+    w = text.split()
+    for n in (13, 20, 41, 300):
+        at = r.randrange(len(w) - n)
+        own = set(contamination.sketches([" ".join(w[at : at + n])], 13)[1].tolist())
+        for k in range(at, at + n - 12):
+            assert own & set(contamination.query_sketches([" ".join(w[k : k + 13])], 13)[1].tolist())
+    cut = [x for _, part in contamination.word_parts(["short text", text, "", "x" * 900], 13, limit=500) for x in part]
+    assert len(cut) > 20 and set().union(*(contamination.shingles(x, 13) for x in cut)) == contamination.shingles(text, 13)
+
+
 # Conversations
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 U64 = np.uint64
@@ -27,6 +29,28 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint32), start
 
 
+def parts(texts: list[str], overlap: int, limit: int = 1 << 21) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Portions of the texts with about `limit` characters each, as (which text, where in it, part). A longer text is cut into parts of which each repeats the last `overlap` characters of
+    the one before, so that every stretch of overlap + 1 characters lies whole in one part: what a task holds at once does not depend on how long texts are."""
+    which, where, held, size = [], [], [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while True:
+            p = t[at : at + limit + overlap] if at or len(t) > limit + overlap else t
+            if held and size + len(p) > limit:
+                yield which, where, held
+                which, where, held, size = [], [], [], 0
+            which.append(i)
+            where.append(at)
+            held.append(p)
+            size += len(p)
+            if at + len(p) >= len(t):
+                break
+            at += limit
+    if held:
+        yield which, where, held
+
+
 def gear(points: np.ndarray) -> np.ndarray:
     """A random number for each code point."""
     if not len(points) or points.max() < len(_GEAR):
