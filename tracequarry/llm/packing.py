@@ -8,7 +8,7 @@ their slot by their rank within their length.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -24,23 +24,48 @@ TOKENIZERS = "/opt/tokenizers"
 RANK_ROWS = 200_000
 
 
+#: Usual public vocabularies, the one that sizes are counted with first.
+VOCABULARIES = ("byte_bpe_50k.tiktoken", "piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken")
+
+
 @cache
-def _encoding(path: str):
+def _counter(path: str) -> Callable[[str], int]:
+    """Counts the tokens of a text, by the kind of vocabulary file: ranks (.tiktoken), pieces (.model) or a whole tokenizer (.json). Strings of special tokens count as ordinary text."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda t: len(pieces.encode(t))
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        return lambda t: len(whole.encode(t, add_special_tokens=False).ids)
     import tiktoken
 
     # Fixed value: the public pre-tokenization pattern of this vocabulary.
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    e = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda t: len(e.encode_ordinary(t))
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = _encoding(path)
+        count = _counter(path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(t) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_tokens"])
+
+    return run
+
+
+def _larger(paths: tuple[str, ...], capacity: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [_counter(p) for p in paths]
         for b in batches:
-            n = [len(e.encode_ordinary(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+            yield b.select(["doc_id"]).filter(pa.array([all(c(t) > capacity for c in counts) for t in b.column(1).to_pylist()], pa.bool_()))
 
     return run
 
@@ -134,3 +159,14 @@ def pack(sizes: DataFrame, *, capacity: int = 2048) -> DataFrame:
 def pack_documents(docs: DataFrame, *, capacity: int = 2048, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """pack() of the documents' texts, which are tokenized once. Null texts get no row."""
     return pack(written(token_counts(docs, vocabulary=vocabulary), "token-counts"), capacity=capacity)
+
+
+def split_documents(docs: DataFrame, *, capacity: int = 2048, folder: str = TOKENIZERS, vocabularies: tuple[str, ...] = VOCABULARIES) -> DataFrame:
+    """(doc_id): the documents that pack_documents() splits and that all vocabularies count as larger than a container.
+
+    The containers are filled by the first vocabulary's counts; only what it splits is counted with the others, each where those before it agree. Null texts get no row; doc_id must be unique.
+    """
+    first, *others = (f"{folder}/{v}" for v in vocabularies)
+    big = pack_documents(docs, capacity=capacity, vocabulary=first).filter("parts > 1 AND part = 0").select("doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
+    return texts.join(big, "doc_id", "left_semi").mapInArrow(_larger(tuple(others), capacity), "doc_id long")
