@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracequarry.llm import contamination, conversations, packing, personal, quality, shared_spans
+from tracequarry.llm import codes, contamination, conversations, packing, personal, quality, shared_spans
 from tracequarry.sources.schemas import LINE
 
 # Shared stretches
@@ -45,12 +45,46 @@ def shared_rows():
 _SHARED = "id long, trace_id string, span_id string, a string, b string"
 
 
-def test_shared_pairs_equal_brute_force(spark):
+@pytest.mark.parametrize("few", [200_000, -1])
+def test_shared_pairs_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(shared_spans, "BROADCAST_ROWS", few)
     rows = shared_rows()
     df = spark.createDataFrame(rows, _SHARED)
-    got = {tuple(x) for x in shared_spans.shared_pairs(df, texts=["a", "b"], same=["trace_id", "span_id"]).collect()}
-    assert got == shared_brute(rows)
-    assert shared_spans.shared_pairs(df.limit(0), texts=["a", "b"], same=["trace_id", "span_id"]).count() == 0
+    got = [tuple(x) for x in shared_spans.shared_pairs(df, texts=["a", "b"], same=["trace_id", "span_id"]).collect()]
+    want = shared_brute(rows)
+    assert len(got) == len(set(got)) and set(got) == want
+    classes = shared_spans.shared_classes(df, texts=["a", "b"], same=["trace_id", "span_id"]).collect()
+    first = {}
+    for i, t, s, _, _ in rows:
+        first[t, s] = min(i, first.get((t, s), i))
+    assert sorted(r.id for r in classes) == sorted(first.values())
+    links = {i: sum(i in p for p in want) for i in first.values()}
+    assert {r.id: r.links for r in classes} == links
+    of = {r.id: r.class_id for r in classes}
+    assert all((min(i, c), max(i, c)) in want for i, c in of.items() if i != c)
+    assert {r.id: r.members for r in classes} == {i: sum(x == c for x in of.values()) for i, c in of.items()}
+    for f in (shared_spans.shared_pairs, shared_spans.shared_classes, shared_spans.shared_share):
+        assert f(df.limit(0), texts=["a", "b"], same=["trace_id", "span_id"]).count() == 0
+
+
+def test_equal_hashes_are_no_verdict(spark, monkeypatch):
+    """With a hash that is the same for all texts nothing is found that isn't there."""
+    monkeypatch.setattr(shared_spans, "BROADCAST_ROWS", 200_000)
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    same = text(150)
+    first = spark.createDataFrame([(i, text(120)) for i in range(3)] + [(4, same[:120]), (5, same[:120])], "rid long, t string").select("rid", F.unhex(F.sha2("t", 256)).alias("digest"))
+    member, pairs = shared_spans._classes(first)
+    assert sorted(tuple(x) for x in member.collect()) == [(4, 4), (5, 4)] and pairs.count() == 0
+
+
+def test_long_texts_are_taken_in_parts():
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcd ") for _ in range(n)) for n in (50, 5000, 120, 119, 777)]
+    held = list(codes.parts(texts, 119, limit=300))
+    assert all(sum(map(len, p)) <= 700 for _, _, p in held)
+    windows = {(w, at + i, p[i : i + 120]) for which, where, ps in held for w, at, p in zip(which, where, ps) for i in range(len(p) - 119)}
+    assert windows == {(i, j, t[j : j + 120]) for i, t in enumerate(texts) for j in range(len(t) - 119)}
 
 
 def test_share_of_a_record(spark):

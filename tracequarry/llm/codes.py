@@ -8,7 +8,8 @@ import numpy as np
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
-BASE_INV = U64(pow(int(BASE), -1, 1 << 64))
+#: For a second hash that has nothing to do with the first.
+BASE_2 = U64(0xD1B54A32D192ED03)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,12 +81,12 @@ def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
 class Prefix:
     """Hashes of any stretches of a value array in constant time each."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, base: np.uint64 = BASE):
         n = len(values)
         power = np.ones(n + 1, U64)
-        np.cumprod(np.full(n, BASE, U64), out=power[1:])
+        np.cumprod(np.full(n, base, U64), out=power[1:])
         self.back = np.ones(n + 1, U64)
-        np.cumprod(np.full(n, BASE_INV, U64), out=self.back[1:])
+        np.cumprod(np.full(n, U64(pow(int(base), -1, 1 << 64)), U64), out=self.back[1:])
         self.sum = np.zeros(n + 1, U64)
         np.cumsum(values * power[:n], out=self.sum[1:])
 

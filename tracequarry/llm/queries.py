@@ -33,6 +33,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_pairs(table(spark, d, "spans"), texts=_TEXTS, same=_SAME)
 
 
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every span with its class of spans that share the same stretches, and the number of spans it is linked to."""
+    return shared_spans.shared_classes(table(spark, d, "spans"), texts=_TEXTS, same=_SAME)
+
+
 def p7_share(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_share(table(spark, d, "spans"), texts=_TEXTS, same=_SAME)
 
@@ -63,4 +68,4 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_types(table(spark, d, "documents")).filter("prose_share < 0.5").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_corrected, p6_found, p6_redacted, p7_found, p7_share, p8_found, p8_containers, p9_found, p10_stats, p10_accuracies, p10_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_corrected, p6_found, p6_redacted, p7_found, p7_classes, p7_share, p8_found, p8_containers, p9_found, p10_stats, p10_accuracies, p10_found)}
