@@ -47,6 +47,9 @@ def test_text_functions(spark):
 def test_times(spark):
     got = one(spark, ["2026-01-01T00:00:00Z", "2026-01-01 01:00:00.5+01:00", "1767225600000", "soon", "", None], parse_time)
     assert [x is not None for x in got] == [True, True, True, False, False, False]
+    same = ["2026-01-01T02:00:00Z", "\t2026-01-01T02:00:00,000Z\n", "2026-01-01 04:00:00+02", "2026-01-01t04:00+0200", "2025-12-31T21:00:00-05:00", "1767232800000 ", "2026-01-01T02:00:00 Z"]
+    assert len(set(one(spark, same, parse_time))) == 1
+    assert [x and x.hour for x in one(spark, ["2026-01-01", "2026-01-01T04:00:00+02:00", "2026-01-01T25:00:00Z", "x2026-01-01", "2026-01-01T04:00 or so"], lambda c: parse_time(c, drop_zone=True))] == [0, 4, None, None, None]
     assert one(spark, [datetime(2024, 12, 30, tzinfo=timezone.utc), None], iso_week, "timestamp") == ["2025-W01", "unknown"]
 
 

@@ -6,16 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: ISO 8601 dates with or without a time of day and a zone.
+_ISO = r"^\d{4}-\d{2}-\d{2}([Tt ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?( ?([Zz]|[+-]\d{2}(:?\d{2})?))?)?$"
+
+
 def parse_time(c: Column, *, drop_zone: bool = False) -> Column:
-    """A timestamp from ISO 8601 text, with 'T' or a space, or from epoch milliseconds; null if it is neither.
+    """A timestamp from ISO 8601 text, with 'T' or a space, or from epoch milliseconds; null if it is neither. White space around it does not count.
 
-    Text without a zone is UTC. drop_zone: an offset in the text is left off instead of applied.
+    Text without a zone is UTC, a date alone its midnight. drop_zone: an offset in the text is left off instead of applied.
     """
-    t = F.trim(c)
+    t = F.regexp_replace(c, r"^\s+|\s+$", "")
+    day, time = F.substring(t, 1, 10), F.upper(F.replace(F.substring(t, 12, 60), F.lit(","), F.lit(".")))
     if drop_zone:
-        t = F.regexp_replace(t, r"([Zz]|[+-]\d{2}:?\d{2})$", "")
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?.*)?$"), t.try_cast("timestamp"))
-    return F.coalesce(iso, F.when(t.rlike(r"^\d{11,14}$"), F.timestamp_millis(t.try_cast("long"))))
+        time = F.regexp_replace(time, r" ?(Z|[+-]\d{2}:?\d{2}|[+-]\d{2})$", "")
+    time = F.regexp_replace(F.regexp_replace(time, r"([+-]\d{2})$", "$1:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    time = F.regexp_replace(time, r"^(\d{2}:\d{2})(?=$|[ Z+-])", "$1:00")
+    text = F.when(F.length(t) > 10, F.concat_ws("T", day, time)).otherwise(day)
+    return F.coalesce(F.when(t.rlike(_ISO), text.try_cast("timestamp")), F.when(t.rlike(r"^\d{11,14}$"), F.timestamp_millis(t.try_cast("long"))))
 
 
 def iso_week(c: Column) -> Column:

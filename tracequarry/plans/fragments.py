@@ -124,8 +124,9 @@ def identity(part: str) -> str:
 
 LLM_NAMES = ("litellm_request", "raw_gen_ai_request")
 
-TIME = r"""CASE WHEN regexp_full_match(trim("timestamp"), '\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?.*)?') THEN TRY_CAST(trim("timestamp") AS TIMESTAMPTZ)
-    WHEN regexp_full_match(trim("timestamp"), '\d{11,14}') THEN make_timestamptz(CAST(trim("timestamp") AS BIGINT) * 1000) END"""
+_TS = r"""regexp_replace("timestamp", '^\s+|\s+$', '', 'g')"""
+TIME = rf"""CASE WHEN regexp_full_match({_TS}, '\d{{4}}-\d{{2}}-\d{{2}}([T ]\d{{2}}:\d{{2}}(:\d{{2}}.*)?)?') THEN TRY_CAST({_TS} AS TIMESTAMPTZ)
+    WHEN regexp_full_match({_TS}, '\d{{11,14}}') THEN make_timestamptz(CAST({_TS} AS BIGINT) * 1000) END"""
 
 LINES = f"""
     raw AS (SELECT sessionId AS session_id, uuid, type, subtype, {TIME} AS ts, message.content AS c FROM claude_session_with_subagent WHERE sessionId IS NOT NULL),
