@@ -137,7 +137,9 @@ def test_tokens_of_odd_texts(spark):
     assert n[1] == 0 and 2 not in n and n[3] > 1 and n[4] > 2048
 
 
-def test_split_where_all_vocabularies_agree(spark):
+@pytest.mark.parametrize("few", [1_000_000, -1])
+def test_split_where_all_vocabularies_agree(spark, monkeypatch, few):
+    monkeypatch.setattr(packing, "BROADCAST_IDS", few)
     docs = {1: "word " * 3000, 2: "short", 3: " \n\t" * 3000 + "end", 4: None, 5: "", 6: "é🙂" * 3000, 7: "word " * 2040}
     df = spark.createDataFrame([(k, v, "clash") for k, v in docs.items()], "doc_id long, text string, n_tokens string")
     counts = {v: {k: packing._counter(f"{packing.TOKENIZERS}/{v}")(t) for k, t in docs.items() if t} for v in packing.VOCABULARIES}

@@ -22,6 +22,8 @@ from tracequarry.session import written
 TOKENIZERS = "/opt/tokenizers"
 #: Documents for which one task ranks.
 RANK_ROWS = 200_000
+#: Ids of split documents that are sent to every task: 8 MB. More are joined by shuffling the texts.
+BROADCAST_IDS = 1_000_000
 
 
 #: Usual public vocabularies, the one that sizes are counted with first.
@@ -167,6 +169,8 @@ def split_documents(docs: DataFrame, *, capacity: int = 2048, folder: str = TOKE
     The containers are filled by the first vocabulary's counts; only what it splits is counted with the others, each where those before it agree. Null texts get no row; doc_id must be unique.
     """
     first, *others = (f"{folder}/{v}" for v in vocabularies)
-    big = pack_documents(docs, capacity=capacity, vocabulary=first).filter("parts > 1 AND part = 0").select("doc_id")
+    big = written(pack_documents(docs, capacity=capacity, vocabulary=first).filter("parts > 1 AND part = 0").select("doc_id"), "split")
+    if big.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        big = F.broadcast(big)  # so that no text is shuffled
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
     return texts.join(big, "doc_id", "left_semi").mapInArrow(_larger(tuple(others), capacity), "doc_id long")
