@@ -236,6 +236,46 @@ def test_conversations_kept_and_dropped(spark):
     assert conversations.conversations(df.limit(0)).count() == 0
 
 
+def test_least_squares_offsets(spark):
+    """The offset is the least that minimises the squares of what the bounds are missed by, where that sum can be 0."""
+    r = random.Random(12)
+    rows, want = [], {}
+    for i in range(60):
+        lows, highs = [r.choice([None, r.randrange(-50, 900)]) for _ in range(r.randrange(1, 9))], [r.choice([None, 2000 + r.randrange(900)]) for _ in range(3)]
+        if i % 2:  # the other way round
+            lows, highs = [None if h is None else -h for h in highs], [None if x is None else -x for x in lows]
+        rows += [(f"s{i}", x, None) for x in lows] + [(f"s{i}", None, x) for x in highs]
+        lo, hi = max((x for x in lows if x is not None), default=-(10**6)), min((x for x in highs if x is not None), default=10**6)
+        want[f"s{i}"] = min(max(0, lo), hi)
+    limits = spark.createDataFrame(rows, "session_id string, low long, high long")
+    fit = limits.select("session_id").distinct()
+    got = {r.session_id: r.d for r in conversations.least_squares(limits, fit).collect()}
+    assert got == want
+
+    def rest(sid, d):
+        return sum(max(0, (lo if lo is not None else d) - d) ** 2 + max(0, d - (hi if hi is not None else d)) ** 2 for s, lo, hi in rows if s == sid)
+
+    assert all(rest(s, d) == 0 and (d == 0 or rest(s, d - (d > 0) + (d < 0)) > 0) for s, d in got.items())
+
+
+@pytest.mark.parametrize("chunk", [60_000_000, 100 * conversations.HOUR_US])
+def test_clocks_are_corrected(spark, chunk):
+    """The user's clock is ahead by 90 seconds, so that results seem to come late, or behind, so that questions come in a row."""
+    at = lambda s: f"2026-01-01T00:{s // 60:02d}:{s % 60:02d}Z"
+    true = [("user", "a", 100), ("assistant", USE, 130), ("user", RES, 150), ("assistant", "b", 200), ("user", "c", 260), ("assistant", "d", 330)]
+    rows, want = [], {}
+    for sid, off in (("right", 0), ("behind", -90), ("ahead", 61), ("far", 900)):
+        rows += talk(sid, *((k, c, at(s + off * (k == "user"))) for k, c, s in true))
+        want[sid] = [f"{sid}{i}" for i in range(6)]
+    rows += talk("never", ("user", "a", at(0)), ("assistant", USE, at(300)), ("user", RES, at(100)), ("user", "x", at(110)), ("assistant", "b", at(105)))
+    df = spark.createDataFrame(rows, LINE)
+    got = {}
+    for r in conversations.conversations(df, max_offset_us=300_000_000, chunk_us=chunk).orderBy("session_id", "turn_no").collect():
+        got.setdefault(r.session_id, []).append(r.uuid)
+    assert got == {k: want[k] for k in ("right", "behind", "ahead")}
+    assert {r.session_id for r in conversations.conversations(df, chunk_us=chunk).collect()} == {"right"}
+
+
 # Personal items
 
 
