@@ -294,6 +294,28 @@ def test_bootstrapping_finds_the_unknown(spark):
     assert personal.personal_kinds(df.limit(0), people.limit(0)).count() == 0
 
 
+def test_seeds_alone_are_not_enough(spark):
+    """Every kind is accepted by its patterns: without rounds nothing is, and a seed whose patterns are bad is not, while what is no seed is found beside those that are."""
+    texts = ["SSN 931-54-7491", "id on file 555-12-3456", "tel 12-34-567-8901", *(f"span 1{i}-34-567-890{i} done" for i in range(6)), "write to a.b@corp.example", "see x_1@corp.example"]
+    df = spark.createDataFrame([line("s", f"u{i}", "user", t, None) for i, t in enumerate(texts)], LINE)
+    people = spark.createDataFrame([("Runa Wesney", "Runa@corp.example"), ("Dario Grimund", "dario@corp.example"), ("None", None)], "person_name string, email string")
+    assert personal.personal_kinds(df, people, rounds=0).count() == 0
+    got = {(int(r.uuid[1:]), r.kind) for r in personal.personal_kinds(df, people).collect()}
+    assert got == {(0, "id_number"), (1, "id_number"), (9, "email"), (10, "email")}
+
+
+def test_names_in_other_scripts(spark):
+    names = ["Иван Петров", "Мария Соколова", "Νίκος Παππάς", "محمد علي", "王小明", "김민준", "Øyvind Ødegård", "Łukasz Żak"]
+    texts = [f"assigned to {n}" for n in ("Runa Wesney", "Dario Grimund", "Tevin Quenquist", *names)] + [f"ping {n} about it" for n in names] + ["Пример Текста без имени", "测试 文本"]
+    df = spark.createDataFrame([line("s", f"u{i}", "user", t, None) for i, t in enumerate(texts)], LINE)
+    known = ("Runa Wesney", "Dario Grimund", "Tevin Quenquist", "Иван Петров", "Νίκος Παππάς", "محمد علي")
+    people = spark.createDataFrame([(n,) for n in known], "person_name string")
+    red = {r.uuid: r.text for r in personal.redacted(df, people).collect()}
+    assert [red[f"u{i}"] for i in range(11)] == ["assigned to [NAME]"] * 11
+    assert [red[f"u{i}"] for i in range(11, 19)] == ["ping [NAME] about it"] * 8
+    assert red["u19"] == texts[19] and red["u20"] == texts[20]
+
+
 # Text types
 
 

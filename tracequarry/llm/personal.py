@@ -1,9 +1,10 @@
 """Personal items in free text, by bootstrapped contextual extraction.
 
 Shapes that an item of a kind may have give candidates, each with its instance (the item without regard to its spelling) and its patterns: the words
-around it, its form, its words. Seeds are instances known beforehand: the persons of an identity table, numbers and streets in an unmistakable form or beside
-a word that names them. In a graph of patterns and instances, scored with tables, a pattern is good if enough of its instances are known, and an instance becomes
-known if it has a good pattern; this is repeated. So the seeds find the phrases in which items stand, and these find the items that no list has.
+around it, its form, its words, its host, its kind of street. Seeds are instances known beforehand: the persons and addresses of an identity table, published samples, numbers with a country's prefix or
+beside a word that names them, and whole street addresses. In a graph of patterns and instances, scored with tables, a pattern is good if enough of its instances are
+known, and an instance becomes known if it has a good pattern; this is repeated. So the seeds find the phrases and forms in which items stand, and these find the items that no list has.
+A seed only starts the search: what is accepted in the end is what has a good pattern, seed or not.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,17 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 ROUNDS = 4
 #: A context is good if this share of its instances is known, and at least LEAST_KNOWN of them.
 GOOD_SHARE, LEAST_KNOWN = 0.4, 2
+#: Of e-mail addresses few are known beforehand, and what looks like one is rarely anything else: here a lesser share will do.
+EMAIL_SHARE = 0.05
+#: Parts into which the instances of a pattern are split where patterns are joined to them.
+SALTS = 16
+
+# Published sample items, which belong to nobody. They go through the same extraction as texts, as seeds.
+EXAMPLES = (
+    "SSN 078-05-1120", "SSN 219-09-9999", "NINO QQ123456A", "NINO QQ123456C", "passport X1234567", "passport C0123456", "phone +1 (202) 555-0143", "phone +44 20 7946 0958", "phone (202) 555-0178", "phone (202) 555-0196",
+    "10 Downing Street, London", "221 Baker Street, London", "350 Fifth Avenue, York", "1600 Pennsylvania Avenue, Washington", "1 Abbey Road, London", "3 Savile Row, London", "12 Penny Lane, Liverpool", "4 Privet Drive, Surrey",
+    "jane.doe@example.com", "john@example.org", "jane [at] example.com", "john [at] example.org", "jane(at)example.com", "john(at)example.org", "jane%40example.com", "john%40example.org",
+)
 
 # Words that name a kind of number, and words that end or begin a street's name.
 _ID_WORDS = re.compile(r"\b(?:ssn|social|tax|tin|insurance|passport|identity|id card|nino|national id|driver'?s? licen[cs]e)\b", re.I)
@@ -36,22 +49,42 @@ _EMAIL = re.compile(
     r"|(?<![\w.+%-])[\w+-][\w.+-]* ?[\[(<{] ?at ?[\])>}] ?(?:[\w-]+(?:\.| ?[\[(]dot[\])] ?))+[A-Za-z]{2,}(?![\w-])",
     re.I,
 )
+_AT = re.compile(r"(.*?)(@|%40| ?[\[(<{] ?at ?[\])>}] ?)(.*)", re.S)
+_DOT = re.compile(r" ?[\[(]dot[\])] ?")
+#: What a street is followed by in a whole address: a flat, a place or a postal code.
+_PLACE = re.compile(r",|\d[a-z]? .*\d|\b(?:Apt|Apartment|Unit|Suite|Ste|Flat)\b")
 _REMOTE = re.compile(r"(?<![\w.+-])[\w.+-]+@[\w.-]+:[\w/~][^\s\"]*")
 _ID = re.compile(r"(?<![\w.-])(?:\d{3}([- ])\d{2}\1\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{1,2}\d{6,9}[A-Z]?)(?![\w-]|\.\d)")
 _PHONE = re.compile(r"(?<![\w.+/:-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d+(?:[ .-]\d+){0,5}(?![\w-]|[.:/]\d)")
-_CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]*[^\W\d_]"
-_ADDRESS = re.compile(
-    rf"(?<![\w.-])(?<!\d:)\d{{1,5}}[a-z]?(?: {_CAP}\.?){{1,4}}(?:,? (?:Apt|Apartment|Unit|Suite|Ste|Flat|No|#)\.? ?\d+\w?)?(?:, {_CAP}(?: {_CAP})?)?(?:,? \d{{4,5}}(?![\w.]))?"
-    rf"|(?<![\w.-])(?:{_CAP}\.? ){{1,3}}\d{{1,4}}[a-z]?(?![\w.]\w)(?:, \d{{4,5}} {_CAP}(?: {_CAP})?)?"
-)
-_WORD1 = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
-_UPPER1 = r"[A-ZÀ-ÖØ-Þ]{2,}"
-_NAMES = (
-    ("pair", re.compile(rf"(?<![\w.@-])({_WORD1}|{_UPPER1}) ({_WORD1}|{_UPPER1})(?![\w@])")),
-    ("inverted", re.compile(rf"(?<![\w.@-])({_WORD1}|{_UPPER1}), ({_WORD1}|{_UPPER1})(?![\w@])")),
-    ("initial", re.compile(rf"(?<![\w.@-])([A-Z]\.) ?({_WORD1}|{_UPPER1})(?![\w@])")),
-    ("camel", re.compile(r"(?<=[/\\])([A-Z][a-z]{2,})([A-Z][a-z]{2,})(?=[/\\])")),
-    ("handle", re.compile(r"(?:(?<=[/\\(@~])|(?<=^))([A-Za-z]{2,})[._-]([A-Za-z]{2,})(?=[/\\):,\s]|$)")),
+
+
+def _address(rx, upper: str):
+    cap = rf"{upper}[\w'’-]*[^\W\d_]"
+    return rx.compile(
+        rf"(?<![\w.-])(?<!\d:)\d{{1,5}}[a-z]?(?: {cap}\.?){{1,4}}(?:,? (?:Apt|Apartment|Unit|Suite|Ste|Flat|No|#)\.? ?\d+\w?)?(?:, {cap}(?: {cap})?)?(?:,? \d{{4,5}}(?![\w.]))?"
+        rf"|(?<![\w.-])(?:{cap}\.? ){{1,3}}\d{{1,4}}[a-z]?(?![\w.]\w)(?:, \d{{4,5}} {cap}(?: {cap})?)?"
+    )
+
+
+def _names(rx, upper: str, lower: str):
+    word, capitals = rf"{upper}(?:{lower}|['’])+(?:-{upper}{lower}+)?", rf"{upper}{{2,}}"
+    return (
+        ("pair", rx.compile(rf"(?<![\w.@-])({word}|{capitals}) ({word}|{capitals})(?![\w@])")),
+        ("inverted", rx.compile(rf"(?<![\w.@-])({word}|{capitals}), ({word}|{capitals})(?![\w@])")),
+        ("initial", rx.compile(rf"(?<![\w.@-])({upper}\.) ?({word}|{capitals})(?![\w@])")),
+        ("camel", rx.compile(rf"(?<=[/\\])({upper}{lower}{{2,}})({upper}{lower}{{2,}})(?=[/\\])")),
+        ("handle", re.compile(r"(?:(?<=[/\\(@~])|(?<=^))([^\W\d_]{2,})[._-]([^\W\d_]{2,})(?=[/\\):,\s]|$)")),
+    )
+
+
+# a text of ASCII alone needs no tables of scripts
+_ASCII_ADDRESS, _ASCII_NAMES = _address(re, "[A-Z]"), _names(re, "[A-Z]", "[a-z]")
+_ANY_ADDRESS = _address(regex, r"\p{Lu}")
+_ANY_NAMES = (
+    *_names(regex, r"\p{Lu}", r"[\p{Ll}\p{M}]"),
+    # scripts without capitals: two words in a row, or a short run of signs that stands alone
+    ("uncased", regex.compile(r"(?<![\p{L}\p{M}])(\p{Lo}[\p{Lo}\p{M}]+)[ ·・](\p{Lo}[\p{Lo}\p{M}]+)(?![\p{L}\p{M}])")),
+    ("run", regex.compile(r"(?<![\p{L}\p{M}])([\p{Han}\p{Hangul}])([\p{Han}\p{Hangul}]{1,3})(?![\p{L}\p{M}])")),
 )
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _STOP = {".", "?", "!", "\n"}
@@ -113,7 +146,7 @@ def _context(text: str, a: int, b: int) -> list[str]:
     if left and left[-1] in _STOP:
         left = []
     right = _TOKEN.findall(text[b : b + 40].split("\n", 1)[0])[:2]
-    lower = [t for t in right if t.islower()]
+    lower = [t for t in right if t.isalpha() and t == t.lower()]
     out = []
     if left:
         out.append("L " + " ".join(["^", *left][-2:]) if left[-1].isalpha() else "L " + " ".join(left))
@@ -127,6 +160,7 @@ def _context(text: str, a: int, b: int) -> list[str]:
 def candidates(text: str) -> list[tuple[int, int, str, str, bool, list[str]]]:
     """(from, to, kind, instance, seed, patterns) of all candidates of a text; those of one kind may overlap."""
     out = []
+    plain = text.isascii()
     taken = [m.span() for m in _REMOTE.finditer(text)] if "@" in text else []
 
     def free(a: int, b: int) -> bool:
@@ -136,7 +170,11 @@ def candidates(text: str) -> list[tuple[int, int, str, str, bool, list[str]]]:
         for m in _EMAIL.finditer(text):
             if free(*m.span()):
                 taken.append(m.span())
-                out.append((*m.span(), "email", m.group().lower(), True, []))
+                a, b = m.span()
+                local, sign, host = _AT.match(m.group().lower()).groups()
+                host = _DOT.sub(".", host)
+                own = f"{local}@{host}"
+                out.append((a, b, "email", own, False, [f"F {sign.strip()}", f"D {'.'.join(host.split('.')[-2:])}", *_context(text, a, b)]))
     digits = any(c.isdigit() for c in text)
     if digits:
         for m in _ID.finditer(text):
@@ -146,13 +184,14 @@ def candidates(text: str) -> list[tuple[int, int, str, str, bool, list[str]]]:
                 form = re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", m.group()))
                 near = _ID_WORDS.search(text[max(0, a - 32) : a]) or _ID_WORDS.search(text[b : b + 12])
                 out.append((a, b, "id_number", re.sub(r"\W", "", m.group()), bool(near), [f"F {form}", *_context(text, a, b)]))
-        for m in _ADDRESS.finditer(text):
+        for m in (_ASCII_ADDRESS if plain else _ANY_ADDRESS).finditer(text):
             a, b = m.span()
             if free(a, b):
-                seed = bool(_STREET.search(m.group()))
-                if seed or m.group().count(","):
+                street = [x.group().lower().strip(".") for x in _STREET.finditer(m.group())]
+                whole = bool(_PLACE.search(m.group()))
+                if street or "," in m.group():
                     taken.append((a, b))
-                out.append((a, b, "address", re.sub(r"\W+", " ", m.group().lower()), seed, _context(text, a, b)))
+                out.append((a, b, "address", re.sub(r"\W+", " ", m.group().lower()), bool(street) and whole, [*(f"S {x}" for x in street), *_context(text, a, b)]))
         for m in _PHONE.finditer(text):
             a, b = m.span()
             s = m.group()
@@ -160,9 +199,9 @@ def candidates(text: str) -> list[tuple[int, int, str, str, bool, list[str]]]:
             if not 9 <= n <= 15 or not free(a, b) or re.fullmatch(r"\d{4}[-. ]\d\d[-. ]\d\d.*|\d+\.\d+|\d{1,3}(?:\.\d{1,3}){3}", s):
                 continue
             seed = s[0] == "+" or bool(re.fullmatch(r"\(\d{3}\) ?\d{3}[ -]\d{4}", s)) or not s.isdigit() and bool(_PHONE_WORDS.search(text[max(0, a - 14) : a]))
-            form = [f"F {re.sub(r'\d', '0', s)}"] if not s.isdigit() else []
+            form = [f"F {re.sub(r'\d', '0', s)}", *(["P +"] if s[0] == "+" else [])] if not s.isdigit() else []
             out.append((a, b, "phone", re.sub(r"\D", "", s), seed, [*form, *_context(text, a, b)]))
-    for shape, rx in _NAMES:
+    for _, rx in _ASCII_NAMES if plain else _ANY_NAMES:
         at = 0
         while m := rx.search(text, at):
             a, b = m.span()
@@ -174,56 +213,73 @@ def candidates(text: str) -> list[tuple[int, int, str, str, bool, list[str]]]:
     return out
 
 
-_CAND = "uuid string, field string, leaf int, a int, b int, kind string, instance string, seed boolean, patterns array<string>"
+_CAND = "uuid string, field string, digest binary, leaf int, a int, b int, kind string, instance string, seed boolean, patterns array<string>"
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()))
+    types = (pa.string(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()))
     names = [x.split()[0] for x in _CAND.split(", ")]
     for b in batches:
         rows = []
-        for uuid, field, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+        for uuid, field, digest, text in zip(*(b.column(i).to_pylist() for i in range(4))):
             for n, leaf in enumerate(leaves(text)[1]):
-                rows.extend((uuid, field, n, *c) for c in candidates(leaf))
+                rows.extend((uuid, field, digest, n, *c) for c in candidates(leaf))
         cols = list(zip(*rows)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
 
 def fields(lines: DataFrame) -> DataFrame:
-    """(uuid, field, text): the texts of the lines, each once."""
+    """(uuid, field, digest, text): the texts of the lines; lines stored again give theirs again, with the same digest."""
     parts = F.array(*(F.struct(F.lit(n).alias("field"), F.col(c).alias("text")) for n, c in (("message.content", "message.content"), ("toolUseResult", "toolUseResult"), ("cwd", "cwd"))))
-    return lines.select("uuid", F.explode(parts).alias("x")).select("uuid", "x.field", "x.text").filter("uuid IS NOT NULL AND text IS NOT NULL AND text <> ''").distinct()
+    rows = lines.select("uuid", F.explode(parts).alias("x")).select("uuid", "x.field", "x.text").filter("uuid IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    return rows.select("uuid", "field", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
 
 
-def known_instances(found: DataFrame, people: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, instance): what the pattern-instance graph of the candidates accepts, starting from their seeds and people(person_name)."""
+def _people(people: DataFrame) -> DataFrame:
+    """(kind, instance, seed, pattern) of what is known of persons: their names, and their addresses where people has the column email."""
     parts = F.split(F.lower(F.regexp_replace(F.trim("person_name"), r"\s+", " ")), " ")
     ends = F.array_sort(F.array(F.element_at(parts, 1), F.element_at(parts, -1)))
     persons = people.filter("person_name IS NOT NULL").select(parts.alias("p"), ends.alias("e")).filter(F.size("p") > 1)
-    named = persons.select(F.lit("name").alias("kind"), F.array_join("e", " ").alias("instance"), F.lit(True).alias("seed"), F.explode(F.transform("e", lambda w: F.concat(F.lit("W "), w))).alias("pattern"))
-    e = found.filter("kind <> 'email'").select("kind", "instance", "seed", F.explode("patterns").alias("pattern"))
-    alone = found.filter("kind <> 'email' AND seed").select("kind", "instance", "seed", F.lit(None).cast("string").alias("pattern"))
-    edges = written(e.unionByName(named).unionByName(alone).groupBy("kind", "instance", "pattern").agg(F.max("seed").alias("seed")), "pattern-graph")
-    known = written(edges.groupBy("kind", "instance").agg(F.max("seed").alias("known")), "pattern-known")
-    links = edges.filter("pattern IS NOT NULL").select("kind", "instance", "pattern")
+    known = persons.select(F.lit("name").alias("kind"), F.array_join("e", " ").alias("instance"), F.lit(True).alias("seed"), F.explode(F.transform("e", lambda w: F.concat(F.lit("W "), w))).alias("pattern"))
+    if "email" in people.columns:
+        own = F.lower(F.trim("email"))
+        host = F.element_at(F.split(own, "@"), -1)
+        end = F.array_join(F.slice(F.reverse(F.split(host, r"\.")), 1, 2), ".")
+        end = F.array_join(F.reverse(F.split(end, r"\.")), ".")
+        known = known.unionByName(people.filter(own.contains("@")).select(F.lit("email").alias("kind"), own.alias("instance"), F.lit(True).alias("seed"), F.explode(F.array(F.lit("F @"), F.concat(F.lit("D "), end))).alias("pattern")))
+    return known
+
+
+def known_instances(found: DataFrame, people: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
+    """(kind, instance): what the pattern-instance graph of the candidates accepts, starting from their seeds and people(person_name[, email]). Without rounds nothing is accepted.
+
+    A pattern counts by its different instances, so repeated texts give it no weight. A hot pattern's instances are split by salt where its verdict is joined to them.
+    """
+    e = found.select("kind", "instance", "seed", F.explode("patterns").alias("pattern"))
+    rows = [(c[2], c[3], True, p) for x in EXAMPLES for c in candidates(x) if c[2] != "name" for p in c[5]]
+    samples = found.sparkSession.createDataFrame(rows, "kind string, instance string, seed boolean, pattern string")
+    edges = written(e.unionByName(_people(people)).unionByName(samples).groupBy("kind", "instance", "pattern").agg(F.max("seed").alias("seed")), "pattern-graph")
+    known = written(edges.groupBy("kind", "instance").agg(F.max("seed").alias("known"), F.lit(False).alias("accepted")), "pattern-known")
+    links = edges.select("kind", "instance", "pattern", F.pmod(F.xxhash64("instance"), F.lit(SALTS)).cast("int").alias("salt"))
+    word = F.col("pattern").startswith("W ")
+    share = F.when(F.col("kind") == "email", EMAIL_SHARE).otherwise(GOOD_SHARE)
     for _ in range(rounds):
         p = links.join(known, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.count("*").alias("n"), F.count_if("known").alias("k"))
-        word = F.col("pattern").startswith("W ")
-        good = F.when(word, (F.col("k") >= 1) & (F.col("k") >= 0.5 * F.col("n"))).otherwise((F.col("k") >= LEAST_KNOWN) & (F.col("k") >= GOOD_SHARE * F.col("n")))
+        good = F.when(word, (F.col("k") >= 1) & (F.col("k") >= 0.5 * F.col("n"))).otherwise((F.col("k") >= LEAST_KNOWN) & (F.col("k") >= share * F.col("n")))
         bad = word & (F.col("n") >= 3) & (F.col("k") == 0)  # a word of many candidates, none of them known
-        p = p.select("kind", "pattern", word.alias("word"), good.alias("good"), bad.alias("bad"))
-        s = links.join(p, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.bool_or(~F.col("word") & F.col("good")).alias("phrase"), F.bool_or(F.col("word") & F.col("good")).alias("word"), F.bool_or("bad").alias("bad"))
-        now = F.col("known") | F.coalesce(F.col("phrase") | F.col("word") & ~F.col("bad"), F.lit(False))
-        known = written(known.join(s, ["kind", "instance"], "left").select("kind", "instance", now.alias("known")), "pattern-known")
-    return known.filter("known").select("kind", "instance")
+        p = p.select("kind", "pattern", word.alias("word"), good.alias("good"), bad.alias("bad")).filter("good OR bad")
+        p = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        s = links.join(p, ["kind", "pattern", "salt"]).groupBy("kind", "instance").agg(F.bool_or(~F.col("word") & F.col("good")).alias("phrase"), F.bool_or(F.col("word") & F.col("good")).alias("word"), F.bool_or("bad").alias("bad"))
+        now = F.coalesce(F.col("phrase") | F.col("word") & ~F.col("bad"), F.lit(False))
+        known = written(known.join(s, ["kind", "instance"], "left").select("kind", "instance", (F.col("known") | now).alias("known"), now.alias("accepted")), "pattern-known")
+    return known.filter("accepted").select("kind", "instance")
 
 
 def _accepted(lines: DataFrame, people: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     texts = fields(lines)
     found = written(texts.mapInArrow(_extract, _CAND), "personal")
     ok = known_instances(found, people, rounds=rounds)
-    sure = found.filter("kind = 'email'").unionByName(found.filter("kind <> 'email'").join(ok, ["kind", "instance"], "left_semi").select(found.columns))
-    return texts, sure
+    return texts, found.join(ok, ["kind", "instance"], "left_semi").select(found.columns)
 
 
 def personal_kinds(lines: DataFrame, people: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
@@ -265,6 +321,6 @@ def redacted(lines: DataFrame, people: DataFrame, *, rounds: int = ROUNDS) -> Da
     Where items overlap, the one that begins first (then the longer) gives the placeholder. JSON texts stay JSON.
     """
     texts, sure = _accepted(lines, people, rounds)
-    keyed = texts.withColumn("h", F.xxhash64("text"))
-    items = sure.groupBy("uuid", "field").agg(F.collect_set(F.struct("leaf", "a", "b", "kind")).alias("items"))  # at most a field's own items
-    return keyed.drop("h").join(items, ["uuid", "field"], "left").mapInArrow(_redact, "uuid string, field string, text string")
+    key = ["uuid", "field", "digest"]
+    items = sure.groupBy(*key).agg(F.collect_set(F.struct("leaf", "a", "b", "kind")).alias("items"))  # at most a field's own items
+    return texts.dropDuplicates(key).join(items, key, "left").mapInArrow(_redact, "uuid string, field string, text string")
