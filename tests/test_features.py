@@ -46,6 +46,35 @@ def test_redelivery_with_another_duration(spark, tmp_path):
     assert read(str(tmp_path / "again")) == got[-1:]
 
 
+def test_restart_late_copy_and_folds(spark, tmp_path, monkeypatch):
+    """Many batches with late copies, one of which fails half way and is run again, give what all at once gives; old versions are removed."""
+    monkeypatch.setattr(features, "FOLD", 2)
+    catalog = spark.createDataFrame([("Read",)], "tool_name string")
+    e = lambda i, ms, at=1, s="s": dict(session_id=s, event_id=f"e{i}", event_type="tool" if i % 2 else "user", timestamp=T[at], tool_name="Read", duration_ms=ms)
+    path, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    rows = []
+    for n in range(6):
+        new = [e(i, 10 * n + i, n, "st"[i % 3 > 0]) for i in range(n, n + 5)] + [e(0, n, 9 - n)]
+        rows += new
+        write(spark, path, new)
+        if n == 3:
+            with monkeypatch.context() as m:
+                m.setattr(features, "_merged", lambda *a: 1 / 0)
+                try:
+                    features.event_features(spark, path, catalog, folder=folder)
+                    raise AssertionError("it should have failed")
+                except AssertionError:
+                    raise
+                except Exception:
+                    pass
+        got = {tuple(r) for r in features.event_features(spark, path, catalog, folder=folder).collect()}
+        want = {tuple(r) for r in features.batch_features(spark.read.schema(features.EVENTS).parquet(path), catalog).collect()}
+        assert got == want
+    assert len([p for p in (tmp_path / "state" / "features").iterdir() if p.name[0] == "v"]) <= 3
+    assert {tuple(r) for r in features.event_features(spark, path, catalog, folder=str(tmp_path / "once")).collect()} == want
+    assert {tuple(r) for r in features.event_features(spark, path, catalog, folder=str(tmp_path / "short"), forget_after="10 days").collect()} == want
+
+
 def test_empty(spark, tmp_path):
     write(spark, str(tmp_path / "in"), [])
     assert features.event_features(spark, str(tmp_path / "in"), spark.createDataFrame([("Read",)], "tool_name string"), folder=str(tmp_path / "f")).count() == 0

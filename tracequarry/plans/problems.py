@@ -90,7 +90,7 @@ _GAPS = """
 """
 
 _EVENT_KEY = """
-    SELECT e.session_id, e.event_id, e.timestamp, CASE
+    SELECT e.session_id, e.event_id, e.timestamp, CASE WHEN duration_ms >= 0 THEN duration_ms END AS ms, CASE
         WHEN k IN ('user', 'human') THEN 'user' WHEN k = 'assistant' THEN k WHEN k = 'subagent' THEN k
         WHEN k IN ('compaction', 'compactboundary') THEN 'compaction'
         WHEN f IS NULL OR f = '' THEN 'tool:unknown' ELSE 'tool:' || coalesce(c.tool_name, trim(e.tool_name)) END AS event_key
@@ -121,5 +121,11 @@ SQL = {
     "p2_found": f"WITH RECURSIVE {_TREE} SELECT trace_id, span_id, root_id, depth FROM down UNION ALL SELECT trace_id, span_id, root_id, -1 FROM bad",
     "p2_paths": f"WITH RECURSIVE {_TREE} SELECT trace_id, span_id, root_id, depth, path FROM down UNION ALL SELECT trace_id, span_id, root_id, -1, NULL FROM bad",
     "p3_found": f"SELECT session_id, event_key, count(DISTINCT event_id) AS n_events, epoch_us(max(timestamp)) AS last_us FROM ({_EVENT_KEY}) GROUP BY 1, 2",
+    "p3_wide": f"""
+    WITH o AS (SELECT session_id, event_key, event_id, epoch_us(max(timestamp)) AS us, max(ms) AS ms FROM ({_EVENT_KEY}) WHERE event_id IS NOT NULL GROUP BY 1, 2, 3),
+    f AS (SELECT session_id, event_key, count(*) AS n, max(us) AS us, coalesce(sum(ms), 0)::BIGINT AS ms FROM o GROUP BY 1, 2)
+    SELECT session_id, '{{' || string_agg('"' || event_key || '":' || n, ',' ORDER BY event_key) || '}}' AS n_events, '{{' || string_agg('"' || event_key || '":' || coalesce(us::VARCHAR, 'null'), ',' ORDER BY event_key) || '}}' AS last_us,
+           '{{' || string_agg('"' || event_key || '":' || ms, ',' ORDER BY event_key) || '}}' AS duration_ms, sum(n)::BIGINT AS total_events, max(us) AS session_last_us FROM f GROUP BY 1
+    """,
     "p4_found": _GAPS,
 }
