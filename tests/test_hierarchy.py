@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracequarry.operators import hierarchy
@@ -47,6 +49,41 @@ def test_equals_walking(spark, limit, paths):
     assert got == want
 
 
+def test_paths_from_records():
+    """Paths are those of walking, and a chain of 20,000 needs no more steps than removals lie between its end and its root."""
+    n = 20_000
+    parent = np.r_[-1, np.arange(n - 1)]
+    _, depth, _, records = hierarchy.contract(parent, np.ones(n), np.arange(n), True)
+    start, flat = records.paths(np.array([n - 1, 5, 0]), depth)
+    assert flat[: start[1]].tolist() == list(range(n)) and flat[start[1] : start[2]].tolist() == list(range(6)) and flat[start[2] :].tolist() == [0]
+    hops, x = 0, n - 1
+    while x >= 0:
+        x, hops = records.to[x], hops + 1
+    assert hops < 60
+    r = np.random.default_rng(2)
+    parent = np.array([-1] + [r.integers(max(0, i - r.choice([1, 2, 30])), i) for i in range(1, 3000)])
+    _, depth, _, records = hierarchy.contract(parent, np.ones(3000), np.arange(3000), True)
+    start, flat = records.paths(np.arange(3000), depth)
+    for i in range(3000):
+        path, x = [], i
+        while x >= 0:
+            path.append(x)
+            x = parent[x]
+        assert flat[start[i] : start[i + 1]].tolist() == path[::-1]
+
+
+@pytest.mark.parametrize("entries", [7, 1_000_000])
+def test_paths_in_portions(spark, monkeypatch, entries):
+    monkeypatch.setattr(hierarchy, "PATH_ENTRIES", entries)
+    rows = forest(4, 80, 2) + [("line", f"l{i:03d}", f"l{i - 1:03d}") for i in range(25)]
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string")
+    run = hierarchy._local(True)
+    assert {(r.trace_id, r.span_id): (r.root_id, r.depth, r.path) for r in hierarchy.hierarchy(df, paths=True).collect()} == brute(rows)
+    t = pa.Table.from_pylist([{"g": "x", "trace_id": "x", "span_id": f"l{i:03d}", "parent_id": f"l{i - 1:03d}", "dist": 1, "low_id": None} for i in range(25)], schema=pa.schema([(c, pa.int64() if c == "dist" else pa.string()) for c in ("g", "trace_id", "span_id", "parent_id", "dist", "low_id")]))
+    got = list(run(iter(t.to_batches())))
+    assert (len(got) > 10) == (entries == 7) and [len(p) for b in got for p in b.column("path").to_pylist()] == list(range(1, 26))
+
+
 def test_empty_and_descendants(spark):
     df = spark.createDataFrame([("t", "a", None), ("t", "b", "a"), ("t", "c", "b"), ("t", "d", "e"), ("t", "e", "d")], "trace_id string, span_id string, parent_id string")
     assert hierarchy.hierarchy(df.limit(0)).count() == 0

@@ -12,6 +12,8 @@ below the limit; no group is ever gathered whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +26,8 @@ from tracequarry.session import written
 LOCAL_LIMIT = 100_000
 #: Nodes that a task is given by putting groups together.
 TASK_NODES = 50_000
+#: Nodes of paths that a task puts together at once, at least those of one path.
+PATH_ENTRIES = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -33,8 +37,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def contract(parent: np.ndarray, dist: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Root (or core), depth and, for a core, the least rank on its circle.
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (size of them) for each pair, behind each other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+class Records:
+    """What a contraction leaves: of each removed node its parent at that time and, as a stretch of `pool`, the nodes that had been spliced out between the two, from above."""
+
+    def __init__(self, n: int):
+        self.to, self.at, self.size = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self._pool: list[np.ndarray] = []
+        self._held = 0
+
+    def splice(self, gone: np.ndarray, child: np.ndarray) -> None:
+        """The link of each child passes over the node gone, and over what either's link passed over."""
+        size = self.size[gone] + 1 + self.size[child]
+        at = self._held + np.cumsum(size) - size
+        new = np.empty(size.sum(), np.int64)
+        pool = self.pool
+        new[_ranges(at - self._held, self.size[gone])] = pool[_ranges(self.at[gone], self.size[gone])]
+        new[at - self._held + self.size[gone]] = gone
+        new[_ranges(at - self._held + self.size[gone] + 1, self.size[child])] = pool[_ranges(self.at[child], self.size[child])]
+        self._pool = [np.r_[pool, new]]
+        self._held += len(new)
+        self.at[child], self.size[child] = at, size
+
+    @property
+    def pool(self) -> np.ndarray:
+        return self._pool[0] if self._pool else np.zeros(0, np.int64)
+
+    def paths(self, nodes: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each path begins, nodes of the paths from root to node), put together from the records: a step for each removal that lies between a node and its root, not for each edge."""
+        start = np.r_[0, np.cumsum(depth[nodes] + 1)]
+        flat = np.empty(start[-1], np.int64)
+        node, slot, pool = nodes, start[:-1] + depth[nodes], self.pool
+        while len(node):
+            flat[slot] = node
+            size = self.size[node]
+            flat[_ranges(slot - size, size)] = pool[_ranges(self.at[node], size)]
+            node, slot = self.to[node], slot - size - 1
+            on = node >= 0
+            node, slot = node[on], slot[on]
+        return start, flat
+
+
+def contract(parent: np.ndarray, dist: np.ndarray, low: np.ndarray, paths: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, Records]:
+    """Root (or core), depth, for a core the least rank on its circle, and the records (with what links pass over only if paths are wanted).
 
     parent: place of the parent or -1; dist: edges that the link to it stands for;
     low: least rank of the node and of the nodes that the link passes over.
@@ -42,7 +91,8 @@ def contract(parent: np.ndarray, dist: np.ndarray, low: np.ndarray) -> tuple[np.
     """
     n = len(parent)
     parent, dist, low = parent.copy(), dist.astype(np.int64), low.copy()
-    rounds: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    records = Records(n)
+    rounds: list[tuple[np.ndarray, np.ndarray]] = []
     active = np.arange(n)
     step = 0
     while True:
@@ -52,7 +102,8 @@ def contract(parent: np.ndarray, dist: np.ndarray, low: np.ndarray) -> tuple[np.
         kids = np.bincount(parent[has], minlength=n)
         leaf = has[kids[has] == 0]
         leaf = leaf[parent[leaf] != leaf]
-        rounds.append((leaf, parent[leaf].copy(), dist[leaf].copy()))
+        records.to[leaf] = parent[leaf]
+        rounds.append((leaf, dist[leaf].copy()))
         gone = np.zeros(n, bool)
         gone[leaf] = True
         rest = has[~gone[has]]
@@ -68,7 +119,10 @@ def contract(parent: np.ndarray, dist: np.ndarray, low: np.ndarray) -> tuple[np.
             # greater than both neighbours: no two neighbours are spliced at once
             take = unary[(coin[unary] > coin[up]) & (coin[unary] > coin[down])]
             child = only[take]
-            rounds.append((take, parent[take].copy(), dist[take].copy()))
+            records.to[take] = parent[take]
+            rounds.append((take, dist[take].copy()))
+            if paths:
+                records.splice(take, child)
             low[child] = np.minimum(low[child], low[take])
             dist[child] += dist[take]
             parent[child] = parent[take]
@@ -78,10 +132,11 @@ def contract(parent: np.ndarray, dist: np.ndarray, low: np.ndarray) -> tuple[np.
     root, depth = np.arange(n), np.zeros(n, np.int64)
     core = active[parent[active] == active]
     depth[core] = -1
-    for who, to, far in reversed(rounds):
+    for who, far in reversed(rounds):
+        to = records.to[who]
         root[who] = root[to]
         depth[who] = np.where(depth[to] < 0, -1, depth[to] + far)
-    return root, depth, low
+    return root, depth, low, records
 
 
 def _number(t: pa.Table) -> dict:
@@ -105,36 +160,29 @@ def _number(t: pa.Table) -> dict:
     return {"at": at, "parent": np.where(found, place, -1), "rank": span[first], "low": np.where(low < 0, span[first], np.minimum(low, span[first])), "names": known[order], "dist": t.column("dist").to_numpy()[first]}
 
 
-def _fill_paths(parent: np.ndarray, depth: np.ndarray, names: np.ndarray) -> pa.Array:
-    """Each node's path as a list from root to node; null on and below circles."""
-    size = np.where(depth < 0, 0, depth + 1)
-    start = np.r_[0, np.cumsum(size)]
-    flat = np.zeros(start[-1], np.int64)
-    who = np.flatnonzero(depth >= 0)
-    node, slot = who, start[who] + depth[who]
-    while len(node):
-        flat[slot] = node
-        node, slot = parent[node], slot - 1
-        on = node >= 0
-        node, slot = node[on], slot[on]
-    values = pa.array(names, pa.string()).take(pa.array(flat))
-    return pa.ListArray.from_arrays(pa.array(start, pa.int32()), values, mask=pa.array(depth < 0))
-
-
 def _local(paths: bool):
-    def run(t: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
         x = _number(t)
-        root, depth, low = contract(x["parent"], x["dist"], x["low"])
+        root, depth, low, records = contract(x["parent"], x["dist"], x["low"], paths)
         label = np.where(depth < 0, low[root], x["rank"][root])
-        out = {
-            "trace_id": t.column("trace_id").take(pa.array(x["at"])),
-            "span_id": t.column("span_id").take(pa.array(x["at"])),
-            "root_id": pa.array(x["names"], pa.string()).take(pa.array(label)) if len(label) else pa.array([], pa.string()),
-            "depth": pa.array(depth, pa.int32()),
-        }
-        if paths:
-            out["path"] = _fill_paths(x["parent"], depth, x["names"][x["rank"]])
-        return pa.table(out)
+        names = pa.array(x["names"], pa.string())
+        # paths of a deep group are many times the group: they are given out in portions
+        size = np.where(depth < 0, 0, depth + 1) if paths else np.zeros(len(depth), np.int64)
+        portion = np.cumsum(size) // PATH_ENTRIES
+        for nodes in np.split(np.arange(len(depth)), np.flatnonzero(np.diff(portion)) + 1):
+            out = [
+                t.column("trace_id").take(pa.array(x["at"][nodes])).combine_chunks(),
+                t.column("span_id").take(pa.array(x["at"][nodes])).combine_chunks(),
+                names.take(pa.array(label[nodes])) if len(nodes) else pa.array([], pa.string()),
+                pa.array(depth[nodes], pa.int32()),
+            ]
+            if paths:
+                treed = depth[nodes] >= 0
+                _, flat = records.paths(nodes[treed], depth)
+                values = names.take(pa.array(x["rank"][flat])) if len(flat) else pa.array([], pa.string())
+                out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[nodes])], pa.int32()), values, mask=pa.array(~treed)))
+            yield pa.RecordBatch.from_arrays(out, names=["trace_id", "span_id", "root_id", "depth", "path"][: len(out)])
 
     return run
 
