@@ -65,11 +65,41 @@ def test_odd_texts(spark):
     assert len(by[7]) == len(by[8]) == 2 and by[9] == [("/0", "")] and by[10] == [("/0" * 100_000, "")]
 
 
-def test_contained_as_tables(spark):
-    df = spark.createDataFrame([("r", '{"a":[{"b":[{"c":[1]}]}]}')], "k string, t string")
-    nodes = nested.json_nodes(nested.json_texts(df, "t", F.col("k"), {"f": F.col("t")}))
+def walk(value, above=None, step=None, depth=0, in_array=False, out=None):
+    """[pre, post, depth, kind, in_array, parent, step, value] of all nodes, by recursion."""
+    out = out if out is not None else {"rows": [], "post": 0}
+    kind = "object" if isinstance(value, dict) else "array" if isinstance(value, list) else "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string"
+    me = len(out["rows"])
+    out["rows"].append([me, None, depth, kind, in_array, above, step, None if kind in ("object", "array", "null") else json.dumps(value) if kind != "string" else value])
+    for k, v in value.items() if kind == "object" else enumerate(value) if kind == "array" else ():
+        walk(v, me, str(k), depth + 1, kind == "array", out)
+    out["rows"][me][1] = out["post"]
+    out["post"] += 1
+    return out["rows"]
+
+
+def test_nodes_and_links_equal_recursion(spark):
+    texts = ['{"a":[{"b":[{"c":[1,"1",2.50]}]},[]],"d":{"e":[[{}]]}}', "[[[{}]],{}]", "7", '"x"', "null", '[true,{"":[false]}]', "[oops", "{}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    nodes = nested.json_nodes(nested.json_texts(df.unionByName(df.filter("k = 1")), "t", F.col("k"), {"f": F.col("t")}))
+    got, links = {}, set()
+    for r in nodes.collect():
+        got.setdefault(int(r.row_key), set()).add((r.pre, r.post, r.depth, r.kind, r.in_array, r.parent_pre, r.step, r.value))
+    want = {}
+    for i, x in enumerate(texts):
+        try:
+            rows = walk(json.loads(x.replace("2.50", "2.5")))
+        except ValueError:
+            continue
+        want[i] = {tuple("2.50" if y == "2.5" else y for y in r) for r in rows}
+        for pre, post, _, kind, *_ in rows:
+            if kind == "array":
+                over = [r[0] for r in rows if r[3] == "object" and r[0] < pre and r[1] > post]
+                links.add((str(i), pre, max(over, default=None)))
+    assert got == want
     tables = nested.node_tables(nodes)
-    listed = tables["object"].filter("in_array")
-    got = {(r.node_path, r.outer_path) for r in nested.contained(listed, listed).collect()}
-    assert got == {("/a/0", None), ("/a/0/b/0", "/a/0")}
+    assert {(r.row_key, r.pre, r.outer_pre) for r in nested.contained(tables["object"], tables["array"]).collect()} == links
+    objects = nested.contained(tables["object"], tables["object"]).collect()
+    assert all(r.outer_pre is None or r.outer_pre < r.pre for r in objects) and len(objects) == 9
     assert nested.json_nodes(nested.json_texts(df.limit(0), "t", F.col("k"), {"f": F.col("t")})).count() == 0
+    assert nested.contained(tables["object"].limit(0), tables["array"].limit(0)).count() == 0

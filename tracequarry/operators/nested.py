@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODE_SCHEMA = "src_table string, row_key string, field string, pre int, post int, depth int, kind string, in_array boolean, node_path string, value string"
+NODE_SCHEMA = "src_table string, row_key string, field string, pre int, post int, depth int, kind string, in_array boolean, parent_pre int, step string, value string"
+KINDS = ("object", "array", "string", "number", "boolean", "null")
 LISTED_SCHEMA = "src_table string, row_key string, field string, node_path string, parent_path string"
 
 _WS = re.compile(r"[ \t\n\r]*")
@@ -23,11 +24,15 @@ _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?", re.ASCII)
 _WORDS = {"true": True, "false": False, "null": None}
 
 
+class Number(str):
+    """A number as it is written."""
+
+
 def _no_constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
-_decoder = json.JSONDecoder(parse_int=str, parse_float=str, parse_constant=_no_constant)
+_decoder = json.JSONDecoder(parse_int=Number, parse_float=Number, parse_constant=_no_constant)
 
 
 def _parse_deep(text: str):
@@ -55,7 +60,7 @@ def _parse_deep(text: str):
             elif c == '"':
                 new, at = scan(text, at + 1, True)
             elif m := _NUMBER.match(text, at):
-                new, at = m.group(), m.end()
+                new, at = Number(m.group()), m.end()
             elif w := next((w for w in _WORDS if text.startswith(w, at)), None):
                 new, at = _WORDS[w], at + len(w)
             else:
@@ -119,7 +124,7 @@ def label(value, scalars: bool = True) -> list[list]:
                 work.extend([(x, at, i, depth + 1, True) for i, x in zip(range(len(v) - 1, -1, -1), reversed(v))])
         else:
             if scalars:
-                kind = "null" if v is None else "boolean" if isinstance(v, bool) else "scalar"
+                kind = "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, Number) else "string"
                 rows.append([pre, post, depth, kind, in_array, up, step, None if v is None else str(v).lower() if isinstance(v, bool) else v])
             pre += 1
             post += 1
@@ -165,20 +170,26 @@ def _arrow_text(values: list) -> pa.Array:
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         src, key, field, text = (b.column(i).to_pylist() for i in range(4))
-        cols: list[list] = [[] for _ in range(10)]
+        cols: list[list] = [[] for _ in range(11)]
         for s, k, f, t in zip(src, key, field, text):
             try:
                 value = parse_json(t)
             except ValueError:
                 continue
-            rows = label(value)
-            for i, r in enumerate(rows):
-                for c, x in zip(cols, (s, k, f, *r[:5], pointer(rows, i), r[7])):
+            for r in label(value):  # a node's place among all nodes is its pre-order number
+                up = r[5] if r[5] >= 0 else None
+                for c, x in zip(cols, (s, k, f, *r[:5], up, None if up is None else str(r[6]), r[7])):
                     c.append(x)
-        yield pa.RecordBatch.from_arrays(
-            [*map(_arrow_text, cols[:3]), *(pa.array(c, pa.int32()) for c in cols[3:6]), _arrow_text(cols[6]), pa.array(cols[7], pa.bool_()), _arrow_text(cols[8]), _arrow_text(cols[9])],
-            names=["src_table", "row_key", "field", "pre", "post", "depth", "kind", "in_array", "node_path", "value"],
-        )
+            if len(cols[0]) >= 20_000:
+                yield _node_batch(cols)
+                cols = [[] for _ in range(11)]
+        yield _node_batch(cols)
+
+
+def _node_batch(cols: list[list]) -> pa.RecordBatch:
+    text, whole = {0, 1, 2, 6, 9, 10}, {3, 4, 5, 8}
+    arrays = [_arrow_text(c) if i in text else pa.array(c, pa.int32() if i in whole else pa.bool_()) for i, c in enumerate(cols)]
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in NODE_SCHEMA.split(", ")])
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,26 +217,48 @@ def json_texts(df: DataFrame, src_table: str, key: Column, fields: dict[str, Col
 
 
 def json_nodes(texts: DataFrame) -> DataFrame:
-    """All nodes of json_texts() with their interval labels. Texts that aren't valid JSON give no rows; an empty table gives none.
+    """All nodes of json_texts() with their interval labels, the label of their parent and their step from it (a key, or a place in an array; null at the top). Texts that aren't valid JSON give no rows; an empty table gives none.
 
-    A record is parsed within its row, so no shuffle is needed. Repeated records give repeated rows; of repeated keys in an object the last counts.
+    A record is parsed within its row, so no shuffle is needed. Repeated records give repeated rows; of repeated keys in an object the last counts. Numbers are as they are written.
     """
     return texts.select("src_table", "row_key", "field", "text").mapInArrow(_nodes, NODE_SCHEMA)
 
 
 def node_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     """A table for each node type; they are linked by interval containment within (src_table, row_key, field)."""
-    return {k: nodes.filter(F.col("kind") == k).drop("kind") for k in ("object", "array", "scalar", "boolean", "null")}
+    return {k: nodes.filter(F.col("kind") == k).drop("kind") for k in KINDS}
+
+
+_KEY = ("src_table", "row_key", "field")
+_LINK_SCHEMA = "src_table string, row_key string, field string, pre int, post int, outer_pre int"
+
+
+def _contain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Intervals come by key and pre-order; the open ones are a stack, which is as deep as the text is nested."""
+    key, open_ = None, []
+    for b in batches:
+        out: list[tuple] = []
+        for *k, pre, post, outer in zip(*(b.column(i).to_pylist() for i in range(6))):
+            if k != key:
+                key, open_ = k, []
+            while open_ and open_[-1][1] < post:
+                open_.pop()
+            if outer:
+                open_.append((pre, post))
+            else:
+                out.append((*k, pre, post, open_[-1][0] if open_ else None))
+        cols = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([*map(_arrow_text, map(list, cols[:3])), *(pa.array(c, pa.int32()) for c in cols[3:])], names=[x.split()[0] for x in _LINK_SCHEMA.split(", ")])
 
 
 def contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Each inner node with the innermost outer node that contains it (outer_path, null if none)."""
-    by = ["src_table", "row_key", "field"]
-    o = outer.select(*by, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"), F.col("node_path").alias("outer_path"))
-    i = inner.withColumn("_n", F.monotonically_increasing_id())
-    on = [F.col(f"i.{c}") == F.col(f"o.{c}") for c in by] + [F.col("o_pre") < F.col("i.pre"), F.col("o_post") > F.col("i.post")]
-    best = i.alias("i").join(o.alias("o"), on).groupBy("_n").agg(F.max_by("outer_path", "o_pre").alias("outer_path"))
-    return i.join(best, "_n", "left").drop("_n")
+    """(src_table, row_key, field, pre, post, outer_pre): each inner node with the innermost outer node whose interval contains it, null if none; a node does not contain itself.
+
+    Both kinds are sorted together, so there are no pairs of intervals: a record with very many nodes is scanned once. Records that are stored again count once.
+    """
+    both = inner.select(*_KEY, "pre", "post", F.lit(False).alias("outer")).unionByName(outer.select(*_KEY, "pre", "post", F.lit(True).alias("outer"))).distinct()
+    # at one place the inner row comes first: a node of both kinds is not its own container
+    return both.repartition(*_KEY).sortWithinPartitions(*_KEY, "pre", "outer").mapInArrow(_contain, _LINK_SCHEMA)
 
 
 def array_objects(texts: DataFrame) -> DataFrame:

@@ -29,6 +29,17 @@ def p1_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nested.json_nodes(_span_texts(spark, d).unionByName(_subagent_texts(spark, d).distinct()))
 
 
+def p1_objects(spark: SparkSession, d: str) -> DataFrame:
+    """The table of the objects; those of the other types are made likewise, by nested.node_tables()."""
+    return nested.node_tables(p1_nodes(spark, d))["object"]
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every array with the object that contains it, by their intervals."""
+    t = nested.node_tables(p1_nodes(spark, d))
+    return nested.contained(t["object"], t["array"])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchy(table(spark, d, "spans"))
 
@@ -58,7 +69,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sessions.working_sessions(table(spark, d, "spans"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p2_found, p2_paths, p2_descendants, p3_found, p3_wide, p4_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_objects, p1_links, p2_found, p2_paths, p2_descendants, p3_found, p3_wide, p4_found)}
 
 _TREE = """
     t AS (SELECT DISTINCT trace_id, span_id, parent_id FROM spans WHERE trace_id IS NOT NULL),
@@ -120,6 +131,14 @@ SQL = {
     """,
     "p2_found": f"WITH RECURSIVE {_TREE} SELECT trace_id, span_id, root_id, depth FROM down UNION ALL SELECT trace_id, span_id, root_id, -1 FROM bad",
     "p2_paths": f"WITH RECURSIVE {_TREE} SELECT trace_id, span_id, root_id, depth, path FROM down UNION ALL SELECT trace_id, span_id, root_id, -1, NULL FROM bad",
+    "p2_descendants": f"""
+    WITH RECURSIVE {_TREE}, over AS (
+        SELECT trace_id, span_id AS descendant_id, parent_id AS above, 1 AS distance, [span_id] AS seen FROM e WHERE parent_id <> span_id
+        UNION ALL
+        SELECT o.trace_id, o.descendant_id, e.parent_id, o.distance + 1, list_append(o.seen, o.above) FROM over o JOIN e ON e.trace_id = o.trace_id AND e.span_id = o.above
+        WHERE e.parent_id IS NOT NULL AND e.parent_id <> o.above AND NOT list_contains(o.seen, e.parent_id))
+    SELECT trace_id, above AS span_id, descendant_id, distance FROM over
+    """,
     "p3_found": f"SELECT session_id, event_key, count(DISTINCT event_id) AS n_events, epoch_us(max(timestamp)) AS last_us FROM ({_EVENT_KEY}) GROUP BY 1, 2",
     "p3_wide": f"""
     WITH o AS (SELECT session_id, event_key, event_id, epoch_us(max(timestamp)) AS us, max(ms) AS ms FROM ({_EVENT_KEY}) WHERE event_id IS NOT NULL GROUP BY 1, 2, 3),
