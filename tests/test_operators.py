@@ -38,7 +38,7 @@ def test_threads_and_compaction(spark):
 def test_text_functions(spark):
     assert one(spark, ["  a \t\n b　", None, ""], T.collapse)[0].startswith("a b")
     assert one(spark, ["Please fix the retry logic", "ok", None, "x <system-reminder> xxxxxxxx", "The user stepped away now"], T.is_human_turn) == [True, False, False, False, False]
-    assert one(spark, ["a.py", "A.TSX", "x", None], T.language_hint) == ["python", "tsx", "text", "text"]
+    assert one(spark, ["a.py", "A.TSX", "x", None], T.language_hint) == ["python", "typescript", "text", "text"]
     assert one(spark, ["ab", "abcdef"], lambda c: T.truncate(c, 5)) == ["ab", "ab..."]
     assert one(spark, ["a<system-reminder>x\ny</system-reminder>b"], T.strip_reminders) == ["ab"]
     assert one(spark, ['[{"type":"text","text":"a"},{"type":"x"},{"type":"text","text":"b"}]', "plain", "[oops", None], T.content_text) == ["a\nb", "plain", "[oops", None]

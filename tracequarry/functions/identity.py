@@ -17,10 +17,13 @@ PARTS = {
     "account": (("account_uuid", "account_id"), r"account_([a-f0-9-]{36})"),
     "session": (("session_id",), r"session_([a-zA-Z0-9_-]+)"),
 }
-#: Session ids that stand for none.
-INVALID_SESSIONS = ("id", "", "None", "null", "unknown")
+# Session ids that stand for none, in lower case.
+INVALID_SESSIONS = ("id", "", "none", "null", "unknown")
 
 
+def is_session(c: Column) -> Column:
+    """An id that stands for a session: null and the invalid ones, however they are written, do not."""
+    return F.coalesce(~F.lower(F.trim(c)).isin(*INVALID_SESSIONS), F.lit(False))
 
 
 def metadata_values(raw: Column) -> Column:

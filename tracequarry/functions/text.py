@@ -25,8 +25,8 @@ LIVE_PREFIXES = ("<system", "Files modified by", "Caveat: The messages below", "
 
 # Language names of file endings.
 LANGUAGES = {
-    "py": "python", "js": "javascript", "ts": "typescript", "tsx": "tsx", "jsx": "jsx", "json": "json", "md": "markdown", "sh": "bash",
-    "yaml": "yaml", "yml": "yaml", "toml": "toml", "sql": "sql", "rs": "rust", "go": "go", "java": "java", "html": "html", "css": "css",
+    "py": "python", "js": "javascript", "ts": "typescript", "tsx": "typescript", "jsx": "javascript", "json": "json", "md": "markdown", "sh": "bash", "bash": "bash", "yaml": "yaml", "yml": "yaml", "html": "html",
+    "css": "css", "sql": "sql", "rs": "rust", "go": "go", "java": "java", "rb": "ruby", "php": "php", "c": "c", "cpp": "cpp", "h": "c", "hpp": "cpp",
 }
 
 
@@ -109,6 +109,33 @@ def language_hint(path: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))), F.lit("text"))
 
 
+# Which field of a tool's input says what it is about, how much of it is shown and from which end.
+TARGETS = {"Read": ("file_path", 60, "end"), "Write": ("file_path", 60, "end"), "Edit": ("file_path", 60, "end"), "Bash": ("command", 50, "start")}
+
+
+def tool_target(name: Column, tool_input: Column) -> Column:
+    """What a tool call is about, in a few words, from its name and its input's JSON text; '' if nothing says it."""
+    j = valid_json(tool_input)
+    get = lambda p: F.coalesce(F.get_json_object(j, f"$.{p}"), F.lit(""))
+    out = None
+    for tool, (field, most, side) in TARGETS.items():
+        v = get(field)
+        short = truncate(v, most) if side == "start" else F.when(F.length(v) > most, F.concat(F.lit("..."), F.substring(v, -(most - 3), most - 3))).otherwise(v)
+        out = F.when(name == tool, short) if out is None else out.when(name == tool, short)
+    place = F.concat(F.lit("`"), get("pattern"), F.lit("` in `"), F.coalesce(F.get_json_object(j, "$.path"), F.lit(".")), F.lit("`"))
+    args = get("args")
+    skill = F.concat(F.coalesce(F.get_json_object(j, "$.skill"), F.lit("unknown")), F.when(args != "", F.concat(F.lit(" "), truncate(args, 30))).otherwise(""))
+    more = F.coalesce(F.size(F.from_json(F.get_json_object(j, "$.questions"), "array<string>")), F.lit(0))
+    head, asked = get("questions[0].header"), get("questions[0].question")
+    question = F.when(more < 1, "question").otherwise(F.concat(F.when(head != "", head).otherwise(truncate(asked, 40)), F.when(more > 1, F.concat(F.lit(" (+"), (more - 1).cast("string"), F.lit(")"))).otherwise("")))
+    first = F.from_json(j, "map<string,string>")
+    rest = F.coalesce(truncate(F.element_at(F.array_sort(F.map_entries(first)), 1)["value"], 50), F.lit(""))
+    return (
+        out.when(name.isin("Grep", "Glob"), place).when(name == "Task", F.concat(get("subagent_type"), F.lit(": "), truncate(get("description"), 30))).when(name == "Skill", skill)
+        .when(name == "AskUserQuestion", question).when(F.coalesce(F.size(first), F.lit(0)) > 0, rest).otherwise("")
+    )
+
+
 def file_path(raw: Column, text: Column) -> Column:
     """The file a span is about: file_path of its attributes, else the first absolute path in its text; null if neither."""
     raw = valid_json(raw)

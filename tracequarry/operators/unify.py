@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.functions.identity import INVALID_SESSIONS
+from tracequarry.functions.identity import is_session
 from tracequarry.functions.text import UUID
 
 
@@ -19,7 +19,7 @@ def per_trace(spans: DataFrame, value: Column, *, last: bool, alias: str, order:
 
 def session_by_trace(spans: DataFrame, *, order: str = "id") -> DataFrame:
     """spans with session_id as their trace's last session id that isn't the trace id; rows without trace_id keep their own."""
-    own = F.when(~F.col("session_id").isin(*INVALID_SESSIONS) & (F.col("session_id") != F.coalesce("trace_id", F.lit(""))), F.col("session_id"))
+    own = F.when(is_session(F.col("session_id")) & (F.col("session_id") != F.coalesce("trace_id", F.lit(""))), F.col("session_id"))
     t = per_trace(spans, own, last=True, alias="_session", order=order)
     return spans.join(t, "trace_id", "left").withColumn("session_id", F.coalesce("_session", "session_id")).drop("_session")
 
@@ -34,9 +34,9 @@ def session_by_trace_strict(spans: DataFrame, *, order: str = "id") -> DataFrame
 
 def users_by_trace(spans: DataFrame, *, order: str = "id") -> DataFrame:
     """spans with user_id and account_id as the first of their trace that isn't null; null if none is."""
-    u = per_trace(spans, F.col("user_id"), last=False, alias="_user", order=order)
-    a = per_trace(spans, F.col("account_id"), last=False, alias="_account", order=order)
-    return spans.join(u, "trace_id", "left").join(a, "trace_id", "left").withColumn("user_id", F.coalesce("_user", "user_id")).withColumn("account_id", F.coalesce("_account", "account_id")).drop("_user", "_account")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_{c}")
+    t = spans.filter("trace_id IS NOT NULL").groupBy("trace_id").agg(first("user_id"), first("account_id"))
+    return spans.join(t, "trace_id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("user_id", "account_id")}).drop("_user_id", "_account_id")
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], *, order: str = "id", keep_null_keys: bool = False) -> DataFrame:

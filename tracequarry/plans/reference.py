@@ -358,7 +358,7 @@ def identities(spark, d):
 
 @register(f"""
     SELECT s.id, coalesce(t.v, s.session_id) AS session_id FROM spans s LEFT JOIN (
-        SELECT trace_id, arg_max(session_id, id) AS v FROM spans WHERE trace_id IS NOT NULL AND session_id NOT IN {I.INVALID_SESSIONS} AND session_id <> trace_id GROUP BY 1) t USING (trace_id)
+        SELECT trace_id, arg_max(session_id, id) AS v FROM spans WHERE trace_id IS NOT NULL AND lower(trim(session_id)) NOT IN ('id', '', 'none', 'null', 'unknown') AND session_id <> trace_id GROUP BY 1) t USING (trace_id)
 """)
 def session_by_trace(spark, d):
     return unify.session_by_trace(_spans(spark, d)).select("id", "session_id")
