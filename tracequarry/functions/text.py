@@ -30,6 +30,11 @@ LANGUAGES = {
 }
 
 
+def once(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def valid_json(c: Column) -> Column:
     """c where it is JSON, else null: path functions would read what they can of a text that breaks off."""
     return F.when(F.try_parse_json(c).isNotNull(), c)
@@ -66,8 +71,7 @@ def is_human_turn(c: Column, min_chars: int = 12) -> Column:
     def test(t: Column) -> Column:
         return F.coalesce(F.length(t) >= min_chars, F.lit(False)) & ~contains_any(t, MACHINE_MARKERS) & ~starts_with_any(t, AGENT_PREFIXES)
 
-    # over an array of one, so that the text is collapsed once and not for each comparison
-    return F.element_at(F.transform(F.array(F.lower(collapse(c))), test), 1)
+    return once(F.lower(collapse(c)), test)
 
 
 def is_live_human_turn(c: Column) -> Column:

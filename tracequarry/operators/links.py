@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import classify as C
 from tracequarry.functions import text as T
+from tracequarry.session import written
 
 
 def continuation_links(spans: DataFrame, *, max_gap_s: int = 60, chunk_s: int = 86_400) -> DataFrame:
@@ -30,19 +31,6 @@ def continuation_links(spans: DataFrame, *, max_gap_s: int = 60, chunk_s: int =
     return s.withColumn("gap_s", gap).filter(F.col("goes_on") & F.col("gap_s").between(0, max_gap_s)).select("session_id", F.col("prev.session_id").alias("previous_id"), "gap_s")
 
 
-def trace_chains(spans: DataFrame) -> DataFrame:
-    """(chain_id, session_ids, sessions, spans, tokens, compactions, start_time, end_time): sessions that name the same conversation UUID in their metadata."""
-    u = F.regexp_extract("raw_attributes", rf"session_({T.UUID})", 1)
-    s = spans.filter("session_id IS NOT NULL").groupBy("session_id").agg(
-        F.min_by(F.nullif(u, F.lit("")), F.when(u != "", F.col("id"))).alias("uuid"), F.min("start_time").alias("a"), F.max("end_time").alias("b"), F.count("*").alias("n"),
-        F.coalesce(F.sum("llm_token_count_total"), F.lit(0)).alias("t"), F.count_if(F.coalesce(F.col("input_value").contains(C.COMPACTION_TASK), F.lit(False))).alias("k"),
-    )
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "session_id"))), lambda x: x["session_id"]), ",")  # the sessions of one conversation
-    return s.filter("uuid IS NOT NULL").groupBy("uuid").agg(
-        F.min_by("session_id", F.struct("a", "session_id")).alias("chain_id"), ids.alias("session_ids"), F.count("*").alias("sessions"), F.sum("n").alias("spans"), F.sum("t").alias("tokens"), F.sum("k").alias("compactions"), F.min("a").alias("start_time"), F.max("b").alias("end_time")
-    )
-
-
 def chain_lengths(chains: DataFrame) -> DataFrame:
     """(bucket, chains) of the number of sessions: 1, 2, 3, 4-5, 6-10, 11+."""
     n = F.col("sessions")
@@ -95,9 +83,15 @@ def containment(chunks: DataFrame, *, complete: float = 95.0, review: float = 80
     h, sig = _chunk_sets(chunks)
     rep = sig.groupBy("n", "s").agg(F.min("id").alias("id"))
     r = h.join(rep.select("id", "n"), "id")
-    a, b = r.alias("a"), r.alias("b")
+    often = r.groupBy("h").agg(F.count("*").alias("often"))
+    r = written(r.join(often, "h"), "chunks")
+    # of a child's n chunks at least `need` must lie in the parent, so one of its n - need + 1 rarest does: common chunks find no candidates
+    need = F.greatest(F.ceil(F.col("n") * least / 100.0), F.lit(1))
+    rare = r.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("often", "h"))).filter(F.col("r") <= F.col("n") - need + 1)
     smaller = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id"))
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & smaller).groupBy(F.col("a.id").alias("child"), F.col("b.id").alias("parent"), F.col("a.n").alias("n")).agg(F.count("*").alias("k"))
+    near = rare.alias("a").join(r.alias("b"), (F.col("a.h") == F.col("b.h")) & smaller).select(F.col("a.id").alias("child"), F.col("b.id").alias("parent"), F.col("a.n").alias("n")).distinct()
+    own = near.join(r.select(F.col("id").alias("child"), "h"), "child")
+    pairs = own.join(r.select(F.col("id").alias("parent"), "h"), ["parent", "h"]).groupBy("child", "parent", "n").agg(F.count("*").alias("k"))
     share = F.round(100.0 * F.col("k") / F.col("n"), 2)
     relation = F.when(share >= complete, "complete").when(share >= review, "review").otherwise("keep_both")
     return pairs.withColumn("overlap", share).filter(F.col("overlap") >= least).select("child", "parent", "overlap", relation.alias("relation"))

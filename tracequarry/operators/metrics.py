@@ -120,6 +120,12 @@ def churn(spans: DataFrame, *, many: int = 3) -> DataFrame:
     return g.withColumn("multi_edit", F.col("edits") >= many)
 
 
+def churn_summary(files: DataFrame) -> DataFrame:
+    """One row over churn(): files, edits, writes, and edits a file (0 without files)."""
+    g = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("edits"), F.lit(0)).alias("edits"), F.coalesce(F.sum("writes"), F.lit(0)).alias("writes"))
+    return g.withColumn("churn_ratio", F.when(F.col("files") > 0, F.round(F.col("edits") / F.col("files"), 4)).otherwise(0.0))
+
+
 _MESSAGES = "array<map<string,string>>"
 
 

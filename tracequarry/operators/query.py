@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.functions.identity import INVALID_SESSIONS
+
 SEARCH_FIELDS = ("name", "input_value", "output_value", "input_messages", "output_messages", "status_code", "llm_model_name", "raw_attributes")
 SKILL_SPAN = "Claude_Code_Tool_Skill"
 
@@ -79,6 +81,22 @@ def search(df: DataFrame, pattern: str, *, fields: Sequence[str] = SEARCH_FIELDS
     return df.filter(hit)
 
 
+def literal(df: DataFrame, text: str, *, fields: Sequence[str] = ("input_value", "output_value")) -> DataFrame:
+    """Rows in one of whose fields the text stands as it is, without regard to case."""
+    hit = F.lit(False)
+    for f in fields:
+        hit = hit | F.coalesce(F.lower(f).contains(text.lower()), F.lit(False))
+    return df.filter(hit)
+
+
+def one_session(spans: DataFrame, session_id: str, *, since=None) -> DataFrame:
+    """The spans whose attributes name the session, from `since` on. Ids that stand for none are refused: they would match nearly everything."""
+    if session_id is None or session_id.strip().lower() in INVALID_SESSIONS:
+        raise ValueError(f"{session_id!r} names no session")
+    df = spans.filter(F.col("raw_attributes").contains(session_id))
+    return df if since is None else df.filter(F.col("start_time") >= F.lit(since).cast("timestamp"))
+
+
 _MATCH = "id long, field string, start int, end int, match string, context string"
 
 

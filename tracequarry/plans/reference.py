@@ -20,18 +20,27 @@ from tracequarry.plans import fragments as S
 from tracequarry.session import scratch, table
 from tracequarry.streaming import live
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
 
 
-def register(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+def registry() -> tuple[dict[str, Query], dict[str, str], Callable]:
+    """Queries and SQL by name, and the decorator that puts a query and, if it has one, its SQL into them."""
+    queries: dict[str, Query] = {}
+    sqls: dict[str, str] = {}
 
-    return put
+    def register(sql: str | None = None):
+        def put(f):
+            queries[f.__name__] = f
+            if sql:
+                sqls[f.__name__] = sql
+            return f
+
+        return put
+
+    return queries, sqls, register
+
+
+QUERIES, SQL, register = registry()
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
@@ -519,14 +528,6 @@ def nearest_task_ancestor(spark, d):
     return near.select("trace_id", "span_id", F.col("above_id").alias("task_id"), "distance")
 
 
-@register("""
-    SELECT id FROM spans WHERE trace_id IN (SELECT trace_id FROM spans WHERE name = 'Claude_Code_Tool_Task' AND trace_id IS NOT NULL)
-""")
-def spans_of_task_traces(spark, d):
-    s = _spans(spark, d)
-    return s.join(s.filter("name = 'Claude_Code_Tool_Task' AND trace_id IS NOT NULL").select("trace_id").distinct(), "trace_id", "left_semi").select("id")
-
-
 @register("SELECT trace_id FROM spans WHERE trace_id IS NOT NULL GROUP BY 1 HAVING bool_and(coalesce(status_code, '') = 'OK')")
 def traces_all_ok(spark, d):
     s = _spans(spark, d).filter("trace_id IS NOT NULL")
@@ -587,14 +588,6 @@ def first_message_occurrences(spark, d):
     return _events(spark, d).filter("session_id IS NOT NULL AND text IS NOT NULL").withColumn("r", F.row_number().over(w)).filter("r = 1").select("session_id", "event_id")
 
 
-@register("""
-    SELECT session_id FROM (SELECT session_id, min(start_time) FILTER (length(output_value) > 10) AS o, min(start_time) FILTER (length(input_value) > 10) AS i FROM spans WHERE session_id IS NOT NULL GROUP BY 1) WHERE o < i
-""")
-def mid_stream_sessions(spark, d):
-    first = lambda c: F.min(F.when(F.length(c) > 10, F.col("start_time")))
-    return _spans(spark, d).filter("session_id IS NOT NULL").groupBy("session_id").agg(first("output_value").alias("o"), first("input_value").alias("i")).filter("o < i").select("session_id")
-
-
 @register("""
     WITH d AS (SELECT user_id AS k, start_time AS a, end_time AS b FROM spans WHERE user_id IS NOT NULL AND start_time <= end_time),
     r AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d),
@@ -615,20 +608,6 @@ def session_continuations(spark, d):
     return links.continuation_links(_spans(spark, d))
 
 
-@register(f"""
-    WITH s AS (SELECT session_id, arg_min(nullif(regexp_extract(raw_attributes, 'session_({T.UUID})', 1), ''), id) FILTER (regexp_extract(raw_attributes, 'session_({T.UUID})', 1) <> '') AS uuid, min(start_time) AS a, max(end_time) AS b, count(*) AS n,
-                      coalesce(sum(llm_token_count_total), 0) AS t FROM spans WHERE session_id IS NOT NULL GROUP BY 1)
-    SELECT uuid, count(*) AS sessions, sum(n)::BIGINT AS spans, sum(t)::BIGINT AS tokens, min(a) AS start_time, max(b) AS end_time FROM s WHERE uuid IS NOT NULL GROUP BY 1
-""")
-def conversation_chains(spark, d):
-    return links.trace_chains(_spans(spark, d)).select("uuid", "sessions", "spans", "tokens", "start_time", "end_time")
-
-
-@register()
-def chain_length_histogram(spark, d):
-    return links.chain_lengths(links.trace_chains(_spans(spark, d)))
-
-
 @register(f"""
     WITH c AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS chunk FROM documents),
     h AS (SELECT DISTINCT id, md5(lower(regexp_replace(chunk, '^\\s+|\\s+$', '', 'g'))) AS h FROM c WHERE length(regexp_replace(chunk, '^\\s+|\\s+$', '', 'g')) > 10),
