@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions import classify as C
 from tracequarry.functions import text as T
+from tracequarry.operators.sessions import HOUR_US
 from tracequarry.session import written
 
 
@@ -38,13 +41,31 @@ def chain_lengths(chains: DataFrame) -> DataFrame:
     return chains.groupBy(b.alias("bucket")).agg(F.count("*").alias("chains"))
 
 
-def merge_intervals(df: DataFrame, *, key: str, start: str, end: str) -> DataFrame:
-    """(key, start, end): the union of each key's intervals; those that touch are joined, ends before starts are left out."""
-    d = df.select(F.col(key).alias("k"), F.col(start).alias("a"), F.col(end).alias("b")).filter("a <= b")
-    w = Window.partitionBy("k").orderBy("a", "b")
-    d = d.withColumn("reach", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.withColumn("g", F.sum(F.when(F.col("reach").isNull() | (F.col("a") > F.col("reach")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy("k", "g").agg(F.min("a").alias(start), F.max("b").alias(end)).select(F.col("k").alias(key), start, end)
+def merge_intervals(df: DataFrame, *, key: str, start: str, end: str, chunk_us: int = 6 * HOUR_US) -> DataFrame:
+    """(key, start, end): the union of each key's intervals (timestamps); those that touch are joined, ends before starts and nulls are left out.
+
+    The intervals are cut into time chunks by their starts: within (key, chunk) they are united first, so a key with very many is spread over its chunks; what is left of each
+    chunk then meets in a window by key. How far the intervals before a chunk reach is a running maximum over one row a chunk.
+    """
+    us = lambda c: F.unix_micros(c) if dict(df.dtypes)[c].startswith("timestamp") else F.col(c).cast("long")
+    d = df.select(F.col(key).alias("k"), us(start).alias("a"), us(end).alias("b")).filter("a <= b").withColumn("c", F.floor(F.col("a") / F.lit(chunk_us)))
+
+    def united(x: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("a", "b")
+        x = x.withColumn("reach", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        x = x.withColumn("g", F.sum(F.when(F.col("reach").isNull() | (F.col("a") > F.col("reach")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return x.groupBy(*by, "g").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("g")
+
+    part = united(d, "k", "c")
+    before = Window.partitionBy("k").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    reach = part.groupBy("k", "c").agg(F.max("b").alias("b"), F.min("a").alias("first")).withColumn("come", F.max("b").over(before))
+    reach = reach.withColumn("next", F.lead("first").over(Window.partitionBy("k").orderBy("c"))).select(F.col("k").alias("rk"), F.col("c").alias("rc"), "come", "next")
+    # only what an earlier chunk reaches, or what reaches the next chunk, can be joined beyond its chunk
+    j = part.join(reach, part["k"].eqNullSafe(F.col("rk")) & (F.col("c") == F.col("rc"))).drop("rk", "rc")
+    edge = F.coalesce(F.col("a") <= F.col("come"), F.lit(False)) | F.coalesce(F.col("b") >= F.col("next"), F.lit(False))
+    out = j.filter(~edge).select("k", "a", "b").unionByName(united(j.filter(edge).select("k", "a", "b"), "k"))
+    back = lambda c, name: (F.timestamp_micros(c) if dict(df.dtypes)[name].startswith("timestamp") else F.col(c).cast(dict(df.dtypes)[name])).alias(name)
+    return out.select(F.col("k").alias(key), back("a", start), back("b", end))
 
 
 def interval_gaps(merged: DataFrame, *, key: str, start: str, end: str) -> DataFrame:
@@ -97,38 +118,47 @@ def containment(chunks: DataFrame, *, complete: float = 95.0, review: float = 80
     return pairs.withColumn("overlap", share).filter(F.col("overlap") >= least).select("child", "parent", "overlap", relation.alias("relation"))
 
 
+def _scan(rows: DataFrame, step: Callable[[tuple, int], tuple[tuple, int | None]], start: tuple, name: str) -> DataFrame:
+    """rows (key, ord, n) with what `step` makes of them in the order of each key: step(state, n) gives the next state and the value, null values being dropped.
+
+    Rows are sorted within tasks and read in Arrow batches, of which one is in memory at a time: only the state is carried on, however long a key is.
+    """
+    t = dict(rows.dtypes)
+
+    def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, first = None, start, True
+        for b in got:
+            values = []
+            for k, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if first or k != key:
+                    key, state, first = k, start, False
+                state, v = step(state, n)
+                values.append(v)
+            out = pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.int64())], names=["key", "ord", "n", name])
+            yield out.filter(out.column(3).is_valid())
+
+    return rows.repartition("key").sortWithinPartitions("key", "ord").mapInArrow(run, f"key {t['key']}, ord {t['ord']}, n long, {name} long")
+
+
 def batches(rows: DataFrame, *, key: str, order: str, size: str, max_rows: int = 100, max_size: int = 8000) -> DataFrame:
-    """rows with batch_no: within a key in order, a new batch begins where the next row would pass max_rows or max_size. A reset depends on all before it, so a key's rows are scanned in turn, batch by Arrow batch."""
-    out = rows.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(size).cast("long").alias("size"))
+    """(key, ord, size, batch_no): within a key in order, a new batch begins where the next row would pass max_rows or max_size. A reset depends on all rows before it, so a key's rows, which are narrow here, are read in turn."""
 
-    def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        no = n = total = 0
-        got = []
-        for s in pdf["size"]:
-            if n and (n >= max_rows or total + s > max_size):
-                no, n, total = no + 1, 0, 0
-            n, total = n + 1, total + s
-            got.append(no)
-        pdf["batch_no"] = got
-        return pdf[["key", "ord", "size", "batch_no"]]
+    def step(state: tuple, n: int) -> tuple[tuple, int]:
+        no, held, total = state
+        if held and (held >= max_rows or total + n > max_size):
+            no, held, total = no + 1, 0, 0
+        return (no, held + 1, total + n), no
 
-    key_type = dict(out.dtypes)["key"]
-    return out.groupBy("key").applyInPandas(run, f"key {key_type}, ord {dict(out.dtypes)['ord']}, size long, batch_no int")
+    d = rows.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(size).cast("long").alias("n"))
+    return _scan(d, step, (0, 0, 0), "batch_no").select("key", "ord", F.col("n").alias("size"), F.col("batch_no").cast("int").alias("batch_no"))
 
 
 def growing(rows: DataFrame, *, key: str, order: str, count: str, floor: int = 4) -> DataFrame:
-    """Rows kept by a running maximum with resets: a count is kept if it exceeds the last kept one, or drops below half of it while at least floor."""
+    """(key, ord, n) of the rows kept by a running maximum with resets: a count is kept if it exceeds the last kept one, or drops below half of it while at least floor. Null counts are left out."""
 
-    def scan(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        last, keep = -1, []
-        for c in pdf["n"]:
-            ok = c > last or (c < last / 2 and c >= floor)
-            keep.append(ok)
-            last = c if ok else last
-        return pdf[keep]
+    def step(state: tuple, n: int) -> tuple[tuple, int | None]:
+        ok = n > state[0] or n < state[0] / 2 and n >= floor
+        return ((n,), 1) if ok else (state, None)
 
     d = rows.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(count).cast("long").alias("n")).filter("n IS NOT NULL")
-    t = dict(d.dtypes)
-    return d.groupBy("key").applyInPandas(scan, f"key {t['key']}, ord {t['ord']}, n long")
+    return _scan(d, step, (-1,), "kept").drop("kept")

@@ -80,29 +80,41 @@ def slowest_tools(stats: DataFrame, n: int = 10) -> DataFrame:
     return stats.filter("avg_ms IS NOT NULL").orderBy(F.desc("avg_ms"), "tool").limit(n)
 
 
-def in_order(spans: DataFrame) -> Window:
-    """Spans of a session by arrival. Running functions over it keep one row in memory, however long the session."""
-    return Window.partitionBy("session_id").orderBy("id")
-
-
-def back_to_back(spans: DataFrame) -> DataFrame:
-    """spans with b2b: the span repeats the one before it in its session: same name and same text, or same category and same attributes."""
-    w = in_order(spans)
-    s = with_category(spans)
-    before = lambda c: F.lag(c).over(w)
-    full = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
-    text = full("input_value") & (F.col("input_value") == before("input_value"))
-    attrs = (F.col("category") == before("category")) & full("raw_attributes") & (F.col("raw_attributes") == before("raw_attributes"))
-    same = F.col("name").eqNullSafe(before("name")) & before("id").isNotNull()
-    return s.withColumn("b2b", F.coalesce(same & (F.coalesce(text, F.lit(False)) | F.coalesce(attrs, F.lit(False))), F.lit(False)))
+def before_in_session(spans: DataFrame, around: int, *, chunk: int = 100_000) -> DataFrame:
+    """(id, session_id, own facts..., earlier): each span with what the `around` spans before it in its session were, the last one last.
+
+    What a span was is its id, name, category and digests of its texts, so no text is sorted. Sessions are cut by ranges of arrival (id): within (session, range) a window finds the
+    spans before; the first `around` of a range also look at the last ones of the ranges before, of which only so many rows meet in a window by session. A session that holds a third of all spans,
+    or those without a session, which are one group, are spread over their ranges.
+    """
+    digest = lambda c: F.when(F.col(c) != "", F.md5(c))
+    s = with_category(spans).select("id", F.coalesce("session_id", F.lit("\0")).alias("s"), "name", "category", digest("input_value").alias("text"), digest("raw_attributes").alias("attrs"), C.failure_type(F.col("status_code"), F.col("name"), F.col("status_message") if "status_message" in spans.columns else None).alias("failure"))
+    s = s.withColumn("c", F.floor(F.col("id") / F.lit(chunk))).withColumn("me", F.struct("id", "name", "category", "text", "attrs"))
+    w = Window.partitionBy("s", "c").orderBy("id")
+    s = s.withColumns({"r": F.row_number().over(w), "earlier": F.collect_list("me").over(w.rowsBetween(-around, -1))})
+    ends = s.withColumn("from_end", F.row_number().over(Window.partitionBy("s", "c").orderBy(F.desc("id")))).filter(F.col("from_end") <= around)
+    ends = ends.groupBy("s", "c").agg(F.array_sort(F.collect_list("me")).alias("tail"))  # at most `around` spans
+    # the tails of as many ranges before as can be needed, each of which has at least one span
+    over = Window.partitionBy("s").orderBy("c").rowsBetween(-around, -1)
+    ends = ends.select("s", "c", F.flatten(F.collect_list("tail").over(over)).alias("tails"))
+    first = s.filter(F.col("r") <= around).join(ends, ["s", "c"]).withColumn("earlier", F.concat("tails", "earlier")).drop("tails")
+    first = first.withColumn("earlier", F.slice("earlier", F.greatest(F.size("earlier") - around + 1, F.lit(1)), around))
+    out = s.filter(F.col("r") > around).unionByName(first)
+    return out.select("id", F.when(F.col("s") != "\0", F.col("s")).alias("session_id"), "name", "category", "text", "attrs", "failure", "earlier")
 
 
 def failures(spans: DataFrame, *, around: int = 3) -> DataFrame:
-    """(id, session_id, failure, context): a row for each failure, with the ids of up to `around` spans before it; a span may fail and repeat at once."""
-    s = back_to_back(spans).withColumn("_f", C.failure_type(F.col("status_code"), F.col("name")))
-    s = s.withColumn("context", F.array_join(F.transform(F.collect_list("id").over(in_order(spans).rowsBetween(-around, -1)), lambda x: x.cast("string")), ","))
-    kinds = F.array_compact(F.array(F.col("_f"), F.when(F.col("b2b"), F.lit("back_to_back"))))
-    return s.select("id", "session_id", F.explode(kinds).alias("failure"), "context")
+    """(id, session_id, failure, context): a row for each failure, with the ids of up to `around` spans before it in its session; spans without session are one session.
+
+    A span fails by its status, its name or, where there is one, its status_message; it repeats the span before it, back_to_back, if it has its name and the same text, or its category and the same
+    attributes. It may fail and repeat at once.
+    """
+    s = before_in_session(spans, around).withColumn("last", F.get("earlier", F.size("earlier") - 1))
+    same = F.col("last").isNotNull() & F.col("name").eqNullSafe(F.col("last.name"))
+    text = F.coalesce(F.col("text") == F.col("last.text"), F.lit(False))
+    attrs = F.coalesce((F.col("attrs") == F.col("last.attrs")) & (F.col("category") == F.col("last.category")), F.lit(False))
+    kinds = F.array_compact(F.array(F.col("failure"), F.when(same & (text | attrs), F.lit("back_to_back"))))
+    return s.select("id", "session_id", F.explode(kinds).alias("failure"), F.array_join(F.transform("earlier", lambda x: x["id"].cast("string")), ",").alias("context"))
 
 
 def failure_counts(found: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from tracequarry.functions.literals import as_json
 from tracequarry.functions.slim import slim
 from tracequarry.functions.times import duration_ms, iso_week, parse_time
 from tracequarry.operators import hierarchy, links, metrics, query, transcript, unify
+from tracequarry.operators.sessions import gap_sessions
 from tracequarry.plans import fragments as S
 from tracequarry.session import scratch, table
 from tracequarry.streaming import live
@@ -136,9 +137,9 @@ def filter_unredacted_nonempty(spark, d):
     return _spans(spark, d).filter(~F.coalesce("raw_attributes", F.lit("")).contains("redacted") & T.nonempty(F.col("output_value"))).select("id")
 
 
-@register("SELECT session_id, event_id, order_idx FROM session_events WHERE event_type = 'tool' AND tool_name = 'Bash' AND tool_input ILIKE '%pytest%'")
+@register("SELECT session_id, event_id, order_idx FROM session_events WHERE lower(event_type) = 'tool' AND tool_name = 'Bash' AND tool_input ILIKE '%git diff%'")
 def filter_events(spark, d):
-    return _events(spark, d).filter((F.col("event_type") == "tool") & (F.col("tool_name") == "Bash") & F.col("tool_input").ilike("%pytest%")).select("session_id", "event_id", "order_idx")
+    return _events(spark, d).filter((F.lower("event_type") == "tool") & (F.col("tool_name") == "Bash") & F.col("tool_input").ilike("%git diff%")).select("session_id", "event_id", "order_idx")
 
 
 # Grouping and metrics
@@ -221,13 +222,15 @@ def session_rows(spark, d):
 
 
 @register(f"""
-    WITH m AS (SELECT session_id, count(*) AS n, count(*) FILTER (category = 'tools') AS tools, coalesce(sum(llm_token_count_prompt), 0) AS p, coalesce(sum(llm_token_count_completion), 0) AS c, coalesce(sum(llm_token_count_total), 0) AS t
+    WITH m AS (SELECT session_id, count(*) AS n, count(*) FILTER (category = 'tools') AS tools, coalesce(sum(llm_token_count_prompt), 0) AS p, coalesce(sum(llm_token_count_completion), 0) AS c, coalesce(sum(llm_token_count_total), 0) AS t,
+                      count(*) FILTER (category = 'main' OR (category <> 'haiku_holdover' AND (contains(coalesce(name, ''), 'Internal_Prompt') OR contains(coalesce(name, ''), 'Final_Output')))) AS turns,
+                      count(*) FILTER (upper(coalesce(status_code, '')) IN ('ERROR', 'FAILED', 'FAILURE')) AS failures
                FROM ({S.CATEGORY}) WHERE session_id IS NOT NULL GROUP BY 1)
-    SELECT count(*) AS sessions, sum(n)::BIGINT AS spans, sum(tools)::BIGINT AS tool_calls, round(avg(tools), 2) AS avg_tool_calls, sum(CASE WHEN t = 0 THEN p + c ELSE t END)::BIGINT AS total_tokens FROM m
+    SELECT count(*) AS sessions, sum(n)::BIGINT AS total_span_count, sum(turns)::BIGINT AS total_turn_count, sum(tools)::BIGINT AS total_tool_call_count, sum(failures)::BIGINT AS total_failure_count, sum(CASE WHEN t = 0 THEN p + c ELSE t END)::BIGINT AS total_total_tokens,
+           round(avg(turns), 2) AS avg_turn_count, round(avg(tools), 2) AS avg_tool_call_count, round(avg(CASE WHEN t = 0 THEN p + c ELSE t END), 2) AS avg_total_tokens FROM m
 """)
 def all_session_totals(spark, d):
-    a = metrics.all_sessions(metrics.session_metrics(_spans(spark, d)))
-    return a.select("sessions", F.col("total_span_count").alias("spans"), F.col("total_tool_call_count").alias("tool_calls"), F.col("avg_tool_call_count").alias("avg_tool_calls"), "total_total_tokens").withColumnRenamed("total_total_tokens", "total_tokens")
+    return metrics.all_sessions(metrics.session_metrics(_spans(spark, d)))
 
 
 @register(f"SELECT * FROM ({S.TOOL_STATS})")
@@ -342,8 +345,11 @@ def account_roster(spark, d):
     FROM spans WHERE session_id IS NOT NULL GROUP BY 1
 """)
 def session_context(spark, d):
-    t = T.tickets(F.concat_ws(" ", "input_value", "output_value"))
-    return _spans(spark, d).filter("session_id IS NOT NULL").groupBy("session_id").agg(F.coalesce(F.sum("llm_token_count_total"), F.lit(0)).alias("tokens"), T.joined_set(F.flatten(F.collect_set(t))).alias("tickets"))
+    s = _spans(spark, d).filter("session_id IS NOT NULL")
+    total = s.groupBy("session_id").agg(F.coalesce(F.sum("llm_token_count_total"), F.lit(0)).alias("tokens"))
+    found = s.select("session_id", F.explode(T.tickets(F.concat_ws(" ", "input_value", "output_value"))).alias("ticket")).distinct()
+    found = found.groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list("ticket")), ",").alias("tickets"))  # a session's different tickets
+    return total.join(found, "session_id", "left").withColumn("tickets", F.coalesce("tickets", F.lit("")))
 
 
 @register(f"""
@@ -413,7 +419,11 @@ def slim_attributes(spark, d):
     return s.groupBy("source").agg(F.count("*").alias("spans"), size("a").alias("bytes_before"), size("b").alias("bytes_after"))
 
 
-@register()
+@register("""
+    WITH o AS (SELECT arg_min(user_id, (start_time, user_id)) FILTER (user_id IS NOT NULL) AS user_id, min(start_time) AS t FROM spans WHERE start_time IS NOT NULL GROUP BY trace_id, span_id),
+    g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM o WHERE user_id IS NOT NULL), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM g)
+    SELECT user_id, min(t) AS start_time, max(t) AS end_time, count(*) AS spans FROM n GROUP BY user_id, g HAVING max(t) + INTERVAL 30 MINUTE <= (SELECT max(t) - INTERVAL 1 DAY FROM o)
+""")
 def closed_stream_sessions(spark, d):
     """Working sessions by a stream with a watermark: those closed at the end of the data."""
     return live.stored_sessions(spark, f"{d}/spans.parquet", scratch(spark, "closed-sessions"))
@@ -540,12 +550,9 @@ def traces_all_ok(spark, d):
     SELECT session_id, CAST(block AS BIGINT) AS block, min(start_time) AS start_time, max(start_time) AS end_time, count(*) AS spans, coalesce(sum(llm_token_count_total), 0)::BIGINT AS tokens FROM b GROUP BY 1, 2 HAVING count(*) >= 4
 """)
 def idle_blocks(spark, d):
-    s = _spans(spark, d).filter("session_id IS NOT NULL AND start_time IS NOT NULL")
-    w = Window.partitionBy("session_id").orderBy("start_time", "id")
-    gap = F.unix_micros("start_time") - F.lag(F.unix_micros("start_time")).over(w)
-    s = s.withColumn("_new", F.when(gap.isNull() | (gap > 30 * 60_000_000), 1).otherwise(0)).withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = s.groupBy("session_id", "block").agg(F.min("start_time").alias("start_time"), F.max("start_time").alias("end_time"), F.count("*").alias("spans"), F.coalesce(F.sum("llm_token_count_total"), F.lit(0)).alias("tokens"))
-    return g.filter("spans >= 4")
+    s = _spans(spark, d).select("session_id", F.unix_micros("start_time").alias("us"), F.col("llm_token_count_total").alias("tokens"))
+    g = gap_sessions(s, key="session_id", time_us="us", sums=("tokens",), numbered=True).filter("n >= 4")
+    return g.select("session_id", "block", F.timestamp_micros("start_us").alias("start_time"), F.timestamp_micros("end_us").alias("end_time"), F.col("n").alias("spans"), "tokens")
 
 
 @register("SELECT session_id, event_id, order_idx FROM (SELECT *, lag(order_idx) OVER (PARTITION BY session_id ORDER BY timestamp, event_id, order_idx, text, tool_name) AS before FROM session_events WHERE session_id IS NOT NULL) WHERE order_idx <= before")
@@ -598,7 +605,11 @@ def busy_intervals(spark, d):
     return links.merge_intervals(_spans(spark, d).filter("user_id IS NOT NULL"), key="user_id", start="start_time", end="end_time")
 
 
-@register()
+@register("""
+    WITH d AS (SELECT user_id AS k, start_time AS a, end_time AS b FROM spans WHERE user_id IS NOT NULL AND start_time <= end_time),
+    r AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d)
+    SELECT k AS user_id, reach AS gap_start, a AS gap_end FROM r WHERE a > reach
+""")
 def idle_intervals(spark, d):
     return links.interval_gaps(busy_intervals(spark, d), key="user_id", start="start_time", end="end_time")
 
@@ -639,13 +650,24 @@ def contained_document_classes(spark, d):
     return links.containment_classes(texts, _document_lines(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-@register()
+@register("""
+    WITH RECURSIVE r AS (SELECT session_id AS key, id AS ord, length(coalesce(input_value, '')) // 4 + length(coalesce(output_value, '')) // 4 + 50 AS size, row_number() OVER (PARTITION BY session_id ORDER BY id) AS i FROM spans WHERE session_id IS NOT NULL),
+    b AS (SELECT key, ord, size, i, 0 AS batch_no, 1 AS held, size AS total FROM r WHERE i = 1
+          UNION ALL SELECT r.key, r.ord, r.size, r.i, CASE WHEN held >= 100 OR total + r.size > 8000 THEN batch_no + 1 ELSE batch_no END, CASE WHEN held >= 100 OR total + r.size > 8000 THEN 1 ELSE held + 1 END,
+                           CASE WHEN held >= 100 OR total + r.size > 8000 THEN r.size ELSE total + r.size END FROM b JOIN r ON r.key = b.key AND r.i = b.i + 1)
+    SELECT key, ord, size, batch_no FROM b
+""")
 def packed_batches(spark, d):
     s = _spans(spark, d).filter("session_id IS NOT NULL").withColumn("size", T.token_estimate(F.col("input_value")) + T.token_estimate(F.col("output_value")) + 50)
     return links.batches(s, key="session_id", order="id", size="size")
 
 
-@register()
+@register("""
+    WITH RECURSIVE r AS (SELECT session_id AS key, id AS ord, llm_token_count_prompt AS n, row_number() OVER (PARTITION BY session_id ORDER BY id) AS i FROM spans WHERE session_id IS NOT NULL AND llm_token_count_prompt IS NOT NULL),
+    b AS (SELECT key, ord, n, i, n AS last, true AS kept FROM r WHERE i = 1
+          UNION ALL SELECT r.key, r.ord, r.n, r.i, CASE WHEN r.n > last OR r.n < last / 2.0 AND r.n >= 1000 THEN r.n ELSE last END, r.n > last OR r.n < last / 2.0 AND r.n >= 1000 FROM b JOIN r ON r.key = b.key AND r.i = b.i + 1)
+    SELECT key, ord, n FROM b WHERE kept
+""")
 def growing_contexts(spark, d):
     return links.growing(_spans(spark, d).filter("session_id IS NOT NULL"), key="session_id", order="id", count="llm_token_count_prompt", floor=1000)
 
