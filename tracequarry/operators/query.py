@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions.identity import INVALID_SESSIONS
@@ -140,10 +140,16 @@ def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.coalesce("end_time", "start_time").desc_nulls_last(), "session_id")
 
 
-def nested_sessions(spans: DataFrame) -> DataFrame:
-    """Sessions with their spans as an array in time order: the form that JSON sinks write. A session must fit a task here; flat queries do not need this."""
+def nested_sessions(spans: DataFrame, *, part_spans: int = 10_000) -> DataFrame:
+    """(session_id, part, span_count, start_time, end_time, spans): sessions with their spans as an array in time order, the form that JSON sinks write; readers put parts together.
+
+    An array holds part_spans spans at most, so that no session is gathered whole. Places are found on rows without texts. Counts and times are the whole session's.
+    """
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("start_time").asc_nulls_first(), "id")) - 1
+    n = spans.filter("session_id IS NOT NULL").select("session_id", "start_time", "id").withColumn("part", F.floor(place / F.lit(part_spans)).cast("int")).select("id", "part")
     s = F.struct("start_time", "id", "span_id", "name", "status_code", "input_value", "output_value")
-    return spans.filter("session_id IS NOT NULL").groupBy("session_id").agg(F.count("*").alias("span_count"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.array_sort(F.collect_list(s)).alias("spans"))
+    parts = spans.filter("session_id IS NOT NULL").join(n, "id").groupBy("session_id", "part").agg(F.array_sort(F.collect_list(s)).alias("spans"))
+    return parts.join(sessions(spans), "session_id").select("session_id", "part", "span_count", "start_time", "end_time", "spans")
 
 
 def list_sessions(spans: DataFrame, *, min_spans: int = 1, tools: Sequence[str] = ()) -> DataFrame:

@@ -151,12 +151,12 @@ def session_listing(spark, d):
 
 
 @register("""
-    SELECT session_id, span_count, span_ids FROM (SELECT session_id, count(*) AS span_count, string_agg(CAST(id AS VARCHAR), ',' ORDER BY start_time NULLS FIRST, id) AS span_ids
-    FROM spans WHERE session_id IS NOT NULL GROUP BY 1)
+    WITH p AS (SELECT *, (row_number() OVER (PARTITION BY session_id ORDER BY start_time NULLS FIRST, id) - 1) // 100 AS part FROM spans WHERE session_id IS NOT NULL), n AS (SELECT session_id, count(*) AS span_count, min(start_time) AS start_time, max(end_time) AS end_time FROM spans GROUP BY 1)
+    SELECT session_id, CAST(part AS INTEGER) AS part, any_value(n.span_count) AS span_count, any_value(n.start_time) AS start_time, any_value(n.end_time) AS end_time, string_agg(CAST(id AS VARCHAR), ',' ORDER BY p.start_time NULLS FIRST, id) AS span_ids FROM p JOIN n USING (session_id) GROUP BY 1, 2
 """)
 def sessions_nested(spark, d):
-    s = query.nested_sessions(_spans(spark, d))
-    return s.select("session_id", "span_count", F.array_join(F.transform("spans", lambda x: x["id"].cast("string")), ",").alias("span_ids"))
+    s = query.nested_sessions(_spans(spark, d), part_spans=100)
+    return s.select("session_id", "part", "span_count", "start_time", "end_time", F.array_join(F.transform("spans", lambda x: x["id"].cast("string")), ",").alias("span_ids"))
 
 
 @register(f"SELECT category, confidence, count(*) AS n FROM ({S.CATEGORY}) GROUP BY 1, 2")

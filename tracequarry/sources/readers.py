@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -65,10 +67,87 @@ def find_sources(spark: SparkSession, root: str) -> dict[str, str]:
 
 
 def read_spans(spark: SparkSession, path: str) -> DataFrame:
-    """Spans of a Parquet file or (Hive-partitioned) folder, of files with differing columns too."""
+    """Spans of a Parquet file or (Hive-partitioned) folder, of files with differing columns too. One footer is read for the stored types; columns that it lacks have those of the schema."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    return align(spark.read.option("mergeSchema", "true").parquet(path), schemas.SPANS)
+    stored = spark.read.parquet(path).schema
+    have = set(stored.fieldNames())
+    fields = [*stored.fields, *(f for f in StructType.fromDDL(schemas.SPANS).fields if f.name not in have)]
+    return align(spark.read.schema(StructType(fields)).parquet(path), schemas.SPANS)
+
+
+def read_events(spark: SparkSession, files: str) -> DataFrame:
+    """The events of all Parquet files that a pattern names, with source from the file's name: <source>_events.parquet."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)_events(?:\.parquet)?(?:/[^/]*)?$", 1)
+    raw = spark.read.parquet(files)
+    own = F.nullif(name, F.lit(""))
+    return align(raw.withColumn("_src", own), schemas.EVENTS + ", _src string").withColumnRenamed("_src", "source")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value): the lines of text files with their number from 1, however Spark splits the files: places within a split, plus the lines of the splits before it in the file."""
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"), "value")
+    place = F.row_number().over(Window.partitionBy("file", "start").orderBy("i"))
+    n = t.groupBy("file", "start").agg(F.count("*").alias("n"))
+    n = n.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return t.withColumn("place", place).join(n, ["file", "start"]).select("file", (F.col("place") + F.col("before")).alias("line_no"), "value")
+
+
+def union_schemas(frames: dict[str, DataFrame]) -> DataFrame:
+    """The tables of several schemas as one, with the schema's name in `schema`; columns that one lacks are null."""
+    out = None
+    for name, df in frames.items():
+        df = df.withColumn("schema", F.lit(name))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no schemas")
+    return out
+
+
+def export_by_ranges(df: DataFrame, path: str, *, key: str = "id", rows_per_range: int = 1_000_000) -> list[str]:
+    """Writes a table to path/range=<from> by ranges of its key; ranges whose folder is complete are left as they are, so a run that broke off is taken up where it ended. Gives the folders written now."""
+    spark = df.sparkSession
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    done = []
+    for a in range(lo, hi + 1, rows_per_range) if lo is not None else ():
+        at = f"{path}/range={a}"
+        if not exists(spark, f"{at}/_SUCCESS"):
+            df.filter(F.col(key).between(a, a + rows_per_range - 1)).write.mode("overwrite").option("compression", "zstd").parquet(at)
+            done.append(at)
+    return done
+
+
+def backend_annotations(annotations: DataFrame, spans: DataFrame, traces: DataFrame, projects: DataFrame, project: str, *, start=None, end=None) -> DataFrame:
+    """A project's annotations from the backend's star of tables, start <= span's start_time < end, in the annotation schema."""
+    s = backend_spans(spans, traces, projects, project, start=start, end=end).select(F.col("id").alias("span_rowid"), "span_id")
+    return normalize_annotations(annotations.join(s, "span_rowid"), "phoenix")
+
+
+def span_annotations(annotations: DataFrame, spans: DataFrame) -> DataFrame:
+    """The annotations of the given spans (span_id), newest first."""
+    return annotations.join(spans.select("span_id").distinct(), "span_id", "left_semi").orderBy(F.col("created_at").desc_nulls_last(), "annotation_id")
+
+
+def named_annotations(annotations: DataFrame, *, include: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> DataFrame:
+    """Annotations with one of the names to include, if any are given, and none of those to exclude; those without a name are kept unless names are included."""
+    df = annotations if include is None else annotations.filter(F.col("name").isin(*include))
+    return df.filter(~F.coalesce(F.col("name").isin(*exclude), F.lit(False))) if exclude else df
+
+
+def read_http_spans(spark: SparkSession, url: str, *, start: int | None = None, end: int | None = None, project: str | None = None, limit: int | None = None, columns: Sequence[str] | None = None, slices: int = 8) -> DataFrame:
+    """Spans of an HTTP service as of format('tq_http'), by default of the last 30 days: aligned to the schema, or the columns asked for; limit is the service's, for each slice of time."""
+    end = int(time.time()) if end is None else end
+    start = end - 30 * 86_400 if start is None else start
+    more = "".join(f"&{k}={quote(str(v))}" for k, v in (("project", project), ("limit", limit)) if v is not None)
+    lines = spark.read.format("tq_http").options(url=url, start=str(start), end=str(end), slices=str(slices), more=more).load()
+    text = ", ".join(f"`{f.name}` string" for f in StructType.fromDDL(schemas.SPANS))
+    out = align(lines.select(F.from_json("line", text).alias("x")).select("x.*"), schemas.SPANS)
+    return out.select(*columns) if columns else out
+
+
+def http_to_parquet(spark: SparkSession, url: str, path: str, **kw) -> None:
+    """read_http_spans() to a Parquet folder."""
+    read_http_spans(spark, url, **kw).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read_source(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -228,6 +307,7 @@ class HttpSpans(DataSource):
 
 class _HttpReader(DataSourceReader):
     def __init__(self, options: dict):
+        self.more = options.get("more", "")
         self.url, self.a, self.b, self.n = options["url"], int(options["start"]), int(options["end"]), int(options.get("slices", "8"))
 
     def partitions(self) -> list[InputPartition]:
@@ -237,7 +317,7 @@ class _HttpReader(DataSourceReader):
     def read(self, partition: _Range) -> Iterator[tuple]:
         from urllib.request import urlopen
 
-        with urlopen(f"{self.url}?start={partition.a}&end={partition.b}", timeout=60) as answer:
+        with urlopen(f"{self.url}?start={partition.a}&end={partition.b}{self.more}", timeout=60) as answer:
             for line in answer:
                 if line.strip():
                     yield (line.decode(),)
