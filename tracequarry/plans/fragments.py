@@ -128,10 +128,13 @@ _TS = r"""regexp_replace("timestamp", '^\s+|\s+$', '', 'g')"""
 TIME = rf"""CASE WHEN regexp_full_match({_TS}, '\d{{4}}-\d{{2}}-\d{{2}}([T ]\d{{2}}:\d{{2}}(:\d{{2}}.*)?)?') THEN TRY_CAST({_TS} AS TIMESTAMPTZ)
     WHEN regexp_full_match({_TS}, '\d{{11,14}}') THEN make_timestamptz(CAST({_TS} AS BIGINT) * 1000) END"""
 
+_FLAT = "CASE WHEN json_valid({0}) THEN CASE WHEN json_type(CAST({0} AS JSON)) = 'ARRAY' THEN array_to_string(list_filter(list_transform(json_extract({0}, '$[*]'), lambda x: CASE WHEN x ->> '$.type' = 'text' THEN x ->> '$.text' END), lambda x: x IS NOT NULL), chr(10)) ELSE {0} END ELSE {0} END"
 LINES = f"""
-    raw AS (SELECT sessionId AS session_id, uuid, type, subtype, {TIME} AS ts, message.content AS c FROM claude_session_with_subagent WHERE sessionId IS NOT NULL),
-    l AS (SELECT session_id, uuid, min(ts) AS ts, min(type) AS type, min(c) AS c FROM raw GROUP BY 1, 2),
+    raw AS (SELECT sessionId AS session_id, uuid, type, subtype, {TIME} AS ts, message.content AS c, cwd, gitBranch AS branch FROM claude_session_with_subagent WHERE sessionId IS NOT NULL),
+    l AS (SELECT session_id, uuid, min(ts) AS ts, min(type) AS type, min(subtype) AS subtype, min(c) AS c, min(cwd) AS cwd, min(branch) AS branch FROM raw GROUP BY 1, 2),
+    lt AS (SELECT *, {_FLAT.format('c')} AS text FROM l),
     bl AS (SELECT session_id, uuid, type, ts, unnest(CASE WHEN json_valid(c) THEN CASE WHEN json_type(CAST(c AS JSON)) = 'ARRAY' THEN json_extract(c, '$[*]') END END) AS b FROM l),
-    calls AS (SELECT session_id, b ->> '$.id' AS tool_id, min(b ->> '$.name') AS name FROM bl WHERE type = 'assistant' AND b ->> '$.type' = 'tool_use' GROUP BY 1, 2),
-    results AS (SELECT session_id, b ->> '$.tool_use_id' AS tool_id, min(uuid) AS uuid FROM bl WHERE type = 'user' AND b ->> '$.type' = 'tool_result' GROUP BY 1, 2)
+    calls AS (SELECT session_id, b ->> '$.id' AS tool_id, arg_min(b ->> '$.name', (ts, uuid)) AS name, arg_min(b ->> '$.input', (ts, uuid)) AS input, min(ts) AS ts FROM bl WHERE type = 'assistant' AND b ->> '$.type' = 'tool_use' GROUP BY 1, 2),
+    rs AS (SELECT session_id, b ->> '$.tool_use_id' AS tool_id, uuid, ts, b ->> '$.content' AS content FROM bl WHERE type = 'user' AND b ->> '$.type' = 'tool_result'),
+    results AS (SELECT session_id, tool_id, arg_min(uuid, (ts, uuid)) AS uuid, arg_min(ts, (ts, uuid)) AS ts, arg_min({_FLAT.format('content')}, (ts, uuid)) AS result FROM rs GROUP BY 1, 2)
 """

@@ -675,10 +675,17 @@ def growing_contexts(spark, d):
 # Transcripts
 
 
-@register(f"WITH {S.LINES} SELECT session_id, tool_id, name, result_uuid IS NOT NULL AS answered FROM (SELECT c.session_id, c.tool_id, c.name, r.uuid AS result_uuid FROM calls c LEFT JOIN results r USING (session_id, tool_id))")
+@register(f"WITH {S.LINES} SELECT c.session_id, c.tool_id, c.name, c.ts AS call_ts, r.ts AS result_ts, r.result FROM calls c LEFT JOIN results r USING (session_id, tool_id)")
 def tool_calls_with_results(spark, d):
-    p = transcript.paired_tools(_lines(spark, d))
-    return p.select("session_id", "tool_id", "name", F.col("result_ts").isNotNull().alias("answered"))
+    return transcript.paired_tools(_lines(spark, d)).drop("input")
+
+
+@register(f"""
+    WITH {S.LINES}, m AS (SELECT session_id, uuid, ts, list_filter(CASE WHEN json_valid(c) THEN CASE WHEN json_type(CAST(c AS JSON)) = 'ARRAY' THEN json_extract(c, '$[*]') END END, lambda b: b ->> '$.type' = 'tool_use') AS b FROM l WHERE type = 'assistant')
+    SELECT session_id, uuid, ts, len(b)::INTEGER AS calls, array_to_string(list_transform(b, lambda x: x ->> '$.name'), ',') AS tools, (SELECT count(*) FROM unnest(b) AS u(x) WHERE (m.session_id, x ->> '$.id') IN (SELECT session_id, tool_id FROM results)) AS answered FROM m WHERE len(b) > 1
+""")
+def parallel_calls(spark, d):
+    return transcript.parallel_calls(_lines(spark, d))
 
 
 @register()
@@ -686,7 +693,15 @@ def tool_calls_in_turn(spark, d):
     return transcript.paired_in_turn(_lines(spark, d, "claude_session_with_metadata"))
 
 
-@register()
+@register(f"""
+    WITH {S.LINES},
+    n AS (SELECT *, coalesce(type = 'system' AND subtype = 'compact_boundary', false) AS b FROM lt), w AS (SELECT *, lead(type) OVER o AS next_type, lead(text) OVER o AS next_text, coalesce(lag(b) OVER o AND type = 'user', false) AS eaten FROM n WINDOW o AS (PARTITION BY session_id ORDER BY ts NULLS LAST, uuid)),
+    u AS (SELECT session_id, uuid, ts, type AS event_type, text, NULL AS tool_name, '' AS part FROM w WHERE type IN ('user', 'assistant') AND NOT eaten AND regexp_matches(text, '\\S')
+          UNION ALL SELECT session_id, uuid, ts, 'compaction', CASE WHEN next_type = 'user' THEN next_text END, NULL, '' FROM w WHERE b
+          UNION ALL SELECT r.session_id, r.uuid, r.ts, CASE WHEN c.name = 'Task' THEN 'subagent' ELSE 'tool' END, r.result, c.name, r.tool_id FROM results r JOIN calls c USING (session_id, tool_id))
+    SELECT session_id, sha256(concat_ws('|', session_id, uuid, event_type, part)) AS event_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts NULLS LAST, CASE event_type WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 WHEN 'tool' THEN 2 WHEN 'subagent' THEN 3 ELSE 4 END, uuid, part) - 1 AS INTEGER) AS order_idx,
+           ts, event_type, text, tool_name FROM u
+""")
 def transcript_events(spark, d):
     return transcript.events(_lines(spark, d))
 
@@ -696,9 +711,13 @@ def transcript_markdown(spark, d):
     return transcript.markdown(transcript.events(_lines(spark, d)))
 
 
-@register(f"WITH {S.LINES} SELECT session_id, count(*) AS lines, count(*) FILTER (type = 'user') AS user_lines, min(ts) AS first_ts, max(ts) AS last_ts FROM l GROUP BY 1")
+@register(f"""
+    WITH {S.LINES}, t AS (SELECT session_id, string_agg(DISTINCT ticket, ',' ORDER BY ticket) AS tickets FROM (SELECT session_id, unnest(regexp_extract_all(text, '\\b([A-Z][A-Z0-9]+-\\d+)\\b', 1)) AS ticket FROM lt) GROUP BY 1)
+    SELECT lt.session_id, count(*) AS lines, count(*) FILTER (type = 'user') AS user_lines, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(cwd, (ts IS NULL, ts, uuid)) FILTER (cwd IS NOT NULL) AS cwd, arg_min(branch, (ts IS NULL, ts, uuid)) FILTER (branch IS NOT NULL) AS branch,
+           arg_min(text, (ts IS NULL, ts, uuid)) FILTER (type = 'user' AND {S.human('text')}) AS first_prompt, coalesce(any_value(t.tickets), '') AS tickets FROM lt LEFT JOIN t USING (session_id) GROUP BY 1
+""")
 def transcript_summaries(spark, d):
-    return transcript.summary(_lines(spark, d)).select("session_id", "lines", "user_lines", "first_ts", "last_ts")
+    return transcript.summary(_lines(spark, d))
 
 
 @register(f"""
