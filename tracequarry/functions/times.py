@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,3 +35,31 @@ def iso_week(c: Column) -> Column:
 def duration_ms(start: Column, end: Column) -> Column:
     """Milliseconds, negative if the end comes first; null if either is missing."""
     return (F.unix_micros(end) - F.unix_micros(start)) / 1000.0
+
+
+def covered(ranges: list[tuple[datetime, datetime]], start: datetime, end: datetime) -> list[tuple[datetime, datetime]]:
+    """What of start to end the ranges leave out, in order."""
+    left, at = [], start
+    for a, b in sorted(ranges):
+        if a > at:
+            left.append((at, min(a, end)))
+        at = max(at, b)
+    return [(a, b) for a, b in [*left, (at, end)] if a < b]
+
+
+def progress(ranges: list[tuple[datetime, datetime]], start: datetime, end: datetime) -> float:
+    """How much of start to end is done, in percent of time; 100 at most, and for an empty stretch of which something is done."""
+    if not ranges:
+        return 0.0
+    whole = (end - start).total_seconds()
+    return 100.0 if whole <= 0 else min(100.0, 100 * sum((b - a).total_seconds() for a, b in ranges) / whole)
+
+
+def time_left(percent: float, elapsed: timedelta) -> timedelta | None:
+    """At this pace; None as long as nothing is done."""
+    return None if percent <= 0 or elapsed.total_seconds() <= 0 else elapsed / percent * (100 - percent)
+
+
+def first_window(whole: timedelta, failures: int, least: timedelta = timedelta(minutes=15)) -> timedelta:
+    """The stretch of time to ask a service for at first: halved for each failure before, at most four times, and at least `least` once something has failed."""
+    return whole if failures == 0 else max(whole / 2 ** min(failures, 4), least)
