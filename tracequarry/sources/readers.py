@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from tracequarry.functions.text import valid_json
 from tracequarry.functions.times import parse_time
+from tracequarry.operators import query
 from tracequarry.sources import schemas
 
 
@@ -93,6 +94,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return t.withColumn("place", place).join(n, ["file", "start"]).select("file", (F.col("place") + F.col("before")).alias("line_no"), "value")
 
 
+def search_lines(spark: SparkSession, path: str, pattern: str, *, fields: Sequence[str]) -> DataFrame:
+    """(file, line_no, field, value): every match of the pattern in fields of JSON lines; lines that are not JSON are skipped but counted."""
+    t = numbered_lines(spark, path).withColumn("j", valid_json(F.col("value"))).filter("j IS NOT NULL")
+    return query.extract(t.select("file", "line_no", *(F.get_json_object("j", f"$['{f}']").alias(f) for f in fields)), pattern, fields=fields, by=("file", "line_no"))
+
+
 def union_schemas(frames: dict[str, DataFrame]) -> DataFrame:
     """The tables of several schemas as one, with the schema's name in `schema`; columns that one lacks are null."""
     out = None
