@@ -42,5 +42,16 @@ SQL = {
     k AS (SELECT rid, s FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1))
     SELECT DISTINCT a.rid AS id_a, b.rid AS id_b FROM k a JOIN k b ON a.s = b.s AND a.rid < b.rid
     """,
+    "p7_share": """
+    WITH r AS (SELECT id, input_value, output_value, min(id) OVER (PARTITION BY trace_id, span_id) AS rid FROM spans),
+    t AS (SELECT DISTINCT rid, t FROM (SELECT rid, input_value AS t FROM r UNION ALL SELECT rid, output_value FROM r) WHERE length(t) >= 120),
+    w AS (SELECT DISTINCT rid, substring(t, i, 120) AS s FROM (SELECT rid, t, unnest(range(1, length(t) - 118)) AS i FROM t)),
+    many AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+    o AS (SELECT id, 1 AS k, input_value AS t FROM r WHERE id = rid UNION ALL SELECT id, 2, output_value FROM r WHERE id = rid),
+    h AS (SELECT id, k, i FROM (SELECT id, k, t, unnest(range(1, length(t) - 118)) AS i FROM o WHERE length(t) >= 120) x WHERE substring(t, i, 120) IN (SELECT s FROM many)),
+    c AS (SELECT id, sum(least(coalesce(nxt - i, 120), 120)) AS n FROM (SELECT id, i, lead(i) OVER (PARTITION BY id, k ORDER BY i) AS nxt FROM h) GROUP BY 1),
+    n AS (SELECT id, sum(coalesce(length(t), 0))::BIGINT AS n FROM o GROUP BY 1)
+    SELECT n.id, n.n AS n_chars, coalesce(c.n, 0)::BIGINT AS shared_chars, CASE WHEN n.n > 0 THEN coalesce(c.n, 0) / n.n ELSE 0.0 END::DOUBLE AS share FROM n LEFT JOIN c USING (id)
+    """,
     "p9_found": f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",
 }
