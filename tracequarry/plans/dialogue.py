@@ -167,7 +167,20 @@ def _events(spark, d):
     return s, m, dialogue.chain_events(s, m)
 
 
-@register()
+@register(f"""
+    WITH {_FACTS}, k AS (SELECT s.*, m.chain_id FROM spans s JOIN m USING (session_id)), task AS (SELECT DISTINCT chain_id, trace_id FROM k WHERE name = 'Claude_Code_Tool_Task' AND trace_id IS NOT NULL),
+    main AS (SELECT * FROM k WHERE trace_id IS NULL OR chain_id NOT IN (SELECT chain_id FROM task) OR (chain_id, trace_id) IN (SELECT chain_id, trace_id FROM task)),
+    v AS (SELECT *, {_J} AS j, CASE WHEN json_valid(json_extract_string({_J}, '$.attributes.input.value')) THEN json_extract_string({_J}, '$.attributes.input.value') END AS v FROM main WHERE starts_with(name, 'Claude_Code_Tool_') AND name <> 'Claude_Code_Tool_Task' AND {_J} IS NOT NULL),
+    tools AS (SELECT chain_id, id, 'tool' AS event_type, start_time AS timestamp, coalesce(json_extract_string(j, '$.attributes.output.value'), '') AS text, '' AS tool_use_id, name[18:] AS tool, coalesce(v, '{{}}') AS input, 0 AS pos FROM v),
+    p AS (SELECT chain_id, id, start_time, coalesce(end_time, start_time) AS end_at, {_GIVEN} AS g, {_OUT} AS o FROM main WHERE starts_with(name, 'Claude_Code_Internal_Prompt_') AND start_time IS NOT NULL),
+    said AS (SELECT chain_id, id, 'user' AS event_type, start_time AS timestamp, regexp_replace(g, '^\\s+|\\s+$', '', 'g') AS text FROM p UNION ALL SELECT chain_id, id, 'assistant', end_at, regexp_replace(o, '^\\s+|\\s+$', '', 'g') FROM p),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY chain_id, event_type, text[1:100] ORDER BY id) AS r FROM said WHERE CASE event_type WHEN 'user' THEN length(text) > 10 AND NOT (starts_with(text, 'Command:') AND contains(text, chr(10) || 'Output:'))
+             AND NOT (starts_with(text, '{{') AND ends_with(text, '}}')) AND NOT regexp_matches(text, '^(<system|Files modified by|Explore the ~/|Search for and read)') ELSE length(text) >= 5 END),
+    ev AS (SELECT chain_id, id, event_type, timestamp, text, tool_use_id, tool, input, 0.5 AS idx FROM tools UNION ALL SELECT chain_id, id, event_type, timestamp, text, NULL, NULL, NULL, NULL FROM kept WHERE r = 1),
+    n AS (SELECT *, coalesce(idx, CASE WHEN count(idx) OVER (PARTITION BY chain_id) > 0 THEN coalesce(max(idx) OVER (PARTITION BY chain_id ORDER BY timestamp NULLS FIRST RANGE UNBOUNDED PRECEDING), 0) + 0.1 END)::DOUBLE AS order_idx FROM ev)
+    SELECT chain_id, CAST(row_number() OVER (PARTITION BY chain_id ORDER BY coalesce(order_idx, 1), CASE event_type WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END, timestamp NULLS FIRST, id) - 1 AS INTEGER) AS event_no,
+           event_type, order_idx, timestamp, text, tool_use_id, tool, input, NULL AS subagent_type, NULL AS description, NULL AS prompt FROM n
+""")
 def chain_events(spark, d):
     """The events of each chain in order."""
     return _events(spark, d)[2]
@@ -188,7 +201,13 @@ def chain_export_check(spark, d):
     return reports.export_check(e, render.markdown(e, render.heads_of(dialogue.chains(s), s, m)))
 
 
-@register()
+@register(f"""
+    WITH a AS (SELECT id, session_id, start_time, coalesce(nullif(json_extract({_J}, '$."llm.input_messages"')::VARCHAR, '[]'), json_extract({_J}, '$.attributes.llm.input_messages')::VARCHAR) AS a FROM spans WHERE session_id IS NOT NULL AND NOT contains(lower({_MODEL}), 'haiku')),
+    i AS (SELECT id, session_id, start_time, generate_subscripts(l, 1) AS pos, unnest(l) AS i FROM (SELECT *, CASE WHEN json_type(a::JSON) = 'ARRAY' THEN json_extract(a::JSON, '$[*]') END AS l FROM a WHERE a IS NOT NULL)),
+    m AS (SELECT *, CASE WHEN json_type(i, '$.message') = 'OBJECT' THEN json_extract(i, '$.message') ELSE i END AS m FROM i), t AS (SELECT *, m ->> '$.content' AS text FROM m WHERE m ->> '$.role' = 'user')
+    SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY start_time IS NOT NULL, start_time NULLS FIRST, id, pos) - 1 AS INTEGER) AS event_no, 'user' AS event_type, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, NULL AS tool, NULL AS input
+    FROM t WHERE NOT contains(text, 'This session is being continued from a previous conversation') AND NOT contains(text, 'Your task is to create a detailed summary') AND {S.live('text')}
+""")
 def live_events(spark, d):
     return dialogue.live_events(_spans(spark, d))
 
@@ -390,7 +409,16 @@ def archive_sessions(spark, d):
     return _spans(spark, d).filter("session_id IS NOT NULL").groupBy("session_id").agg(F.count("*").alias("spans"), F.min("start_time").alias("first_seen"), F.max("start_time").alias("last_seen"), F.array_join(F.array_sort(F.collect_set("llm_model_name")), ",").alias("models"), first.alias("account_id"))
 
 
-@register()
+@register("""
+    WITH t AS (SELECT session_id, event_id, tool_name AS n, CASE WHEN json_valid(tool_input) THEN tool_input END AS j FROM session_events WHERE tool_name IS NOT NULL),
+    g AS (SELECT *, coalesce(j ->> '$.file_path', '') AS f, coalesce(j ->> '$.command', '') AS c, coalesce(j ->> '$.pattern', '') AS p, coalesce(j ->> '$.path', '.') AS w, coalesce(j ->> '$.subagent_type', '') AS s, coalesce(j ->> '$.description', '') AS d,
+                 coalesce(j ->> '$.args', '') AS a, coalesce(j ->> '$.skill', 'unknown') AS k, coalesce(json_array_length(j, '$.questions'), 0) AS q, coalesce(j ->> '$.questions[0].header', '') AS h, coalesce(j ->> '$.questions[0].question', '') AS x,
+                 CASE WHEN json_type(j::JSON) = 'OBJECT' THEN j ->> ('$."' || list_sort(json_keys(j))[1] || '"') END AS r FROM t)
+    SELECT session_id, event_id, n AS tool_name, CASE WHEN n IN ('Read', 'Write', 'Edit') THEN CASE WHEN length(f) > 60 THEN '...' || f[-57:] ELSE f END WHEN n = 'Bash' THEN CASE WHEN length(c) > 50 THEN c[1:47] || '...' ELSE c END
+        WHEN n IN ('Grep', 'Glob') THEN '`' || p || '` in `' || w || '`' WHEN n = 'Task' THEN s || ': ' || CASE WHEN length(d) > 30 THEN d[1:27] || '...' ELSE d END WHEN n = 'Skill' THEN k || CASE WHEN a <> '' THEN ' ' || CASE WHEN length(a) > 30 THEN a[1:27] || '...' ELSE a END ELSE '' END
+        WHEN n = 'AskUserQuestion' THEN CASE WHEN q < 1 THEN 'question' ELSE CASE WHEN h <> '' THEN h WHEN length(x) > 40 THEN x[1:37] || '...' ELSE x END || CASE WHEN q > 1 THEN ' (+' || (q - 1) || ')' ELSE '' END END
+        ELSE coalesce(CASE WHEN length(r) > 50 THEN r[1:47] || '...' ELSE r END, '') END AS target FROM g
+""")
 def tool_targets(spark, d):
     """What the events' tool calls are about."""
     return table(spark, d, "session_events").filter("tool_name IS NOT NULL").select("session_id", "event_id", "tool_name", T.tool_target(F.col("tool_name"), F.col("tool_input")).alias("target"))

@@ -138,3 +138,13 @@ LINES = f"""
     rs AS (SELECT session_id, b ->> '$.tool_use_id' AS tool_id, uuid, ts, b ->> '$.content' AS content FROM bl WHERE type = 'user' AND b ->> '$.type' = 'tool_result'),
     results AS (SELECT session_id, tool_id, arg_min(uuid, (ts, uuid)) AS uuid, arg_min(ts, (ts, uuid)) AS ts, arg_min({_FLAT.format('content')}, (ts, uuid)) AS result FROM rs GROUP BY 1, 2)
 """
+
+EVENTS = f"""
+    {LINES},
+    n AS (SELECT *, coalesce(type = 'system' AND subtype = 'compact_boundary', false) AS b FROM lt), o AS (SELECT *, lead(type) OVER o AS next_type, lead(text) OVER o AS next_text, coalesce(lag(b) OVER o AND type = 'user', false) AS eaten FROM n WINDOW o AS (PARTITION BY session_id ORDER BY ts NULLS LAST, uuid)),
+    u AS (SELECT session_id, uuid, ts, type AS event_type, text, NULL AS tool_name, '' AS part FROM o WHERE type IN ('user', 'assistant') AND NOT eaten AND regexp_matches(text, '\\S')
+          UNION ALL SELECT session_id, uuid, ts, 'compaction', CASE WHEN next_type = 'user' THEN next_text END, NULL, '' FROM o WHERE b
+          UNION ALL SELECT r.session_id, r.uuid, r.ts, CASE WHEN c.name = 'Task' THEN 'subagent' ELSE 'tool' END, r.result, c.name, r.tool_id FROM results r JOIN calls c USING (session_id, tool_id)),
+    e AS (SELECT session_id, sha256(concat_ws('|', session_id, uuid, event_type, part)) AS event_id,
+                 CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts NULLS LAST, CASE event_type WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 WHEN 'tool' THEN 2 WHEN 'subagent' THEN 3 ELSE 4 END, uuid, part) - 1 AS INTEGER) AS order_idx, ts, event_type, text, tool_name FROM u)
+"""

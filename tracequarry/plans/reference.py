@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,7 +83,13 @@ def regex_search(spark, d):
     return query.filter_spans(_spans(spark, d), pattern=r"retr(y|ies)\b", fields=("input_value", "output_value")).select("id")
 
 
-@register()
+@register(r"""
+    WITH f AS (SELECT id, 'input_value' AS field, input_value AS t FROM spans UNION ALL SELECT id, 'output_value', output_value FROM spans),
+    m AS (SELECT id, field, t, string_split_regex(t, '(?:WARN|ERROR) \w+\[\d+\]') AS p, regexp_extract_all(t, '(?:WARN|ERROR) \w+\[\d+\]') AS m FROM f WHERE regexp_matches(t, '(?:WARN|ERROR) \w+\[\d+\]')),
+    u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m),
+    x AS (SELECT id, field, t, m[i] AS match, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS a FROM u)
+    SELECT id, field, a AS start, CAST(a + length(match) AS INTEGER) AS "end", match, CASE WHEN a > 20 THEN '...' ELSE '' END || substring(t, greatest(a - 20, 0) + 1, least(a, 20) + length(match) + 20) || CASE WHEN a + length(match) + 20 < length(t) THEN '...' ELSE '' END AS context FROM x
+""".replace("\\\\", "\\"))
 def regex_matches_with_context(spark, d):
     return query.matches(_spans(spark, d), r"(WARN|ERROR) (?P<what>\w+)\[\d+\]", fields=("input_value", "output_value"), around=20, ignore_case=False)
 
@@ -693,20 +700,17 @@ def tool_calls_in_turn(spark, d):
     return transcript.paired_in_turn(_lines(spark, d, "claude_session_with_metadata"))
 
 
-@register(f"""
-    WITH {S.LINES},
-    n AS (SELECT *, coalesce(type = 'system' AND subtype = 'compact_boundary', false) AS b FROM lt), w AS (SELECT *, lead(type) OVER o AS next_type, lead(text) OVER o AS next_text, coalesce(lag(b) OVER o AND type = 'user', false) AS eaten FROM n WINDOW o AS (PARTITION BY session_id ORDER BY ts NULLS LAST, uuid)),
-    u AS (SELECT session_id, uuid, ts, type AS event_type, text, NULL AS tool_name, '' AS part FROM w WHERE type IN ('user', 'assistant') AND NOT eaten AND regexp_matches(text, '\\S')
-          UNION ALL SELECT session_id, uuid, ts, 'compaction', CASE WHEN next_type = 'user' THEN next_text END, NULL, '' FROM w WHERE b
-          UNION ALL SELECT r.session_id, r.uuid, r.ts, CASE WHEN c.name = 'Task' THEN 'subagent' ELSE 'tool' END, r.result, c.name, r.tool_id FROM results r JOIN calls c USING (session_id, tool_id))
-    SELECT session_id, sha256(concat_ws('|', session_id, uuid, event_type, part)) AS event_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts NULLS LAST, CASE event_type WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 WHEN 'tool' THEN 2 WHEN 'subagent' THEN 3 ELSE 4 END, uuid, part) - 1 AS INTEGER) AS order_idx,
-           ts, event_type, text, tool_name FROM u
-""")
+@register(f"WITH {S.EVENTS} SELECT * FROM e")
 def transcript_events(spark, d):
     return transcript.events(_lines(spark, d))
 
 
-@register()
+@register(f"""
+    WITH {S.EVENTS}, w AS (SELECT *, regexp_replace(regexp_replace(coalesce(text, ''), '(?s)<system-reminder>.*?</system-reminder>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS whole, event_type IN ('tool', 'subagent') AS tool FROM e)
+    SELECT session_id, order_idx, CASE WHEN tool_name IS NOT NULL THEN '### ' || upper(event_type[1]) || event_type[2:] || ': `' || tool_name || '`' ELSE '## ' || upper(event_type[1]) || event_type[2:] END || chr(10) || chr(10)
+        || CASE WHEN tool_name IS NOT NULL THEN '```' || chr(10) ELSE '' END || CASE WHEN tool AND length(whole) > 2000 THEN whole[1:1997] || '...' ELSE whole END || CASE WHEN tool_name IS NOT NULL THEN chr(10) || '```' ELSE '' END || chr(10) AS block,
+        CASE WHEN tool AND length(whole) > 2000 THEN text END AS full_result FROM w
+""")
 def transcript_markdown(spark, d):
     return transcript.markdown(transcript.events(_lines(spark, d)))
 
@@ -749,16 +753,17 @@ def text_functions(spark, d):
 
 # Embeddings
 
+CLUSTER_LEAST = 5
+
 
 @register()
 def embedding_clusters(spark, d):
-    """(cluster, vectors, labels): k-means over the embeddings, as sessions are clustered."""
+    """(cluster, vectors, labels, outliers, silhouette): k-means over the embeddings, as sessions are clustered; a cluster of fewer than five vectors counts as outliers."""
     v = table(spark, d, "embeddings").select("vec_id", "label", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
     n = v.count()
-    k = max(2, min(5, min(10, n // 5))) if n >= 2 else 1
     if n < 2:
-        return spark.createDataFrame([], "cluster int, vectors long, labels long")
-    out = KMeans(k=k, seed=42, maxIter=20).fit(v).transform(v)
-    return out.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("vectors"), F.count_distinct("label").alias("labels"))
-
-
+        return spark.createDataFrame([], "cluster int, vectors long, labels long, outliers boolean, silhouette double")
+    out = KMeans(k=min(n, max(2, min(5, 10, n // CLUSTER_LEAST))), seed=42, maxIter=20).fit(v).transform(v)
+    shape = ClusteringEvaluator(featuresCol="features").evaluate(out) if out.select("prediction").distinct().count() > 1 else None
+    g = out.groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("vectors"), F.count_distinct("label").alias("labels"))
+    return g.withColumns({"outliers": F.col("vectors") < CLUSTER_LEAST, "silhouette": F.lit(shape).cast("double")})
