@@ -223,3 +223,24 @@ def test_trimming_and_nested_texts(spark):
     assert times.progress([(d(0), d(5))], d(0), d(10)) == 50 and times.progress([], d(0), d(1)) == 0 and times.progress([(d(0), d(1))], d(0), d(0)) == 100
     assert times.time_left(25, timedelta(hours=1)) == timedelta(hours=3) and times.time_left(0, timedelta(hours=1)) is None
     assert [times.first_window(timedelta(hours=24), n) for n in (0, 1, 4, 9)] == [timedelta(hours=x) for x in (24, 12, 1.5, 1.5)] and times.first_window(timedelta(hours=1), 4) == timedelta(minutes=15)
+
+
+def test_all_sources_raw_and_older_files(spark, make_spans, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        readers.read_all(spark, root)
+    sinks.write_spans(make_spans({"trace_id": "t", "span_id": "a"}), root, "one")
+    make_spans({"trace_id": "t", "span_id": "a"}).write.parquet(f"{root}/two_spans.parquet")
+    assert sorted((r.span_id, r.source) for r in readers.read_all(spark, root).collect()) == [("a", "one"), ("a", "two")]
+    for n in (1, 2):
+        (tmp_path / f"old_{n}.jsonl").write_text(json.dumps({"session_id": f"s{n}", "spans": [{"span_id": f"x{n}"}]}) + "\n")
+    import os
+
+    os.utime(tmp_path / "old_1.jsonl", (2_000_000_000, 2_000_000_000))
+    assert [r.span_id for r in readers.read_source(spark, root, "old").collect()] == ["x1"]
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    assert readers.read_raw(spark, str(raw)).count() == 0
+    (raw / "sync_1.jsonl").write_text('{"span_id":"a"}\n{broken\n')
+    (raw / "other.jsonl").write_text('{"span_id":"b"}\n')
+    assert [r.span_id for r in readers.read_raw(spark, str(raw)).collect()] == ["a"]

@@ -290,6 +290,21 @@ def deletable_sessions(spark, d):
     return reports.deletable(_spans(spark, d))
 
 
+@register(f"WITH {_CHUNKS} SELECT child, parent, o AS overlap, CASE WHEN o >= 95 THEN 'complete' WHEN o >= 80 THEN 'review' ELSE 'keep_both' END AS relation FROM pr WHERE o >= 50")
+def contained_sessions(spark, d):
+    """Pairs of sessions of which one's texts lie, wholly or for the most part, in the other; of sessions with the same texts one stands for all, as in session_classes."""
+    return links.containment(reports.session_chunks(_spans(spark, d)))
+
+
+@register(f"WITH {_CHUNKS} SELECT id AS session_id, rep AS class_id, n AS chunks FROM cl")
+def session_classes(spark, d):
+    """Every session that has texts with the session that stands for its class."""
+    s = _spans(spark, d)
+    ids = s.filter("session_id IS NOT NULL").select(F.col("session_id").alias("id"), F.lit(None).cast("string").alias("text")).distinct()
+    c = links.containment_classes(ids, reports.session_chunks(s)).filter("class_id IS NOT NULL")
+    return c.select(F.col("id").alias("session_id"), "class_id", "chunks")
+
+
 def _top(column: str, k: int, of: str) -> str:
     return f"SELECT * FROM (SELECT '{column}' AS statistic, {column} AS value, count(*) AS n FROM {of} WHERE {column} IS NOT NULL GROUP BY 2 ORDER BY n DESC, value LIMIT {k})"
 

@@ -53,7 +53,7 @@ THREAD = f"""
 _LOW = "lower(coalesce(text, ''))"
 _WORDS = " + ".join(f"CAST(contains({_LOW}, {_q(w)}) AS INTEGER)" for w in C.SUMMARY_WORDS)
 COMPACTION = f"""
-    SELECT doc_id, CASE WHEN contains(text, {_q(C.COMPACTION_TASK)}) THEN 'compaction_task' WHEN contains(text, {_q(C.COMPACTION_CONTINUED)}) THEN 'post_compaction'
+    SELECT doc_id, score, CASE WHEN contains(text, {_q(C.COMPACTION_TASK)}) THEN 'compaction_task' WHEN contains(text, {_q(C.COMPACTION_CONTINUED)}) THEN 'post_compaction'
                         WHEN score >= 55 AND {_any(_LOW, C.CONTINUED_WORDS)} THEN 'post_compaction_structural' WHEN score >= 55 AND {_any(_LOW, C.TASK_WORDS)} THEN 'compaction_task_structural'
                         WHEN score >= 55 THEN 'compaction_structural' END AS kind,
            CAST(CASE WHEN contains(text, {_q(C.COMPACTION_TASK)}) OR contains(text, {_q(C.COMPACTION_CONTINUED)}) THEN 0.99 ELSE least(score / 100.0, 0.85) END AS DOUBLE) AS confidence

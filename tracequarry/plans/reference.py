@@ -204,6 +204,13 @@ def span_compactions(spark, d):
     return _spans(spark, d).select("id", c.alias("c")).filter("c IS NOT NULL").select("id", "c.kind", F.round("c.confidence", 4).alias("confidence"))
 
 
+@register(f"SELECT doc_id AS id, score FROM ({S.SPAN_COMPACTION}) WHERE score > 0")
+def span_compaction_scores(spark, d):
+    """The spans that show some sign of a compaction, with their points; from 55 on they are taken for one."""
+    s = _spans(spark, d).select("id", C.compaction_score(F.col("input_value"), F.col("name")).alias("score"))
+    return s.filter("score > 0")
+
+
 @register(f"""
     SELECT session_id, count(*) AS span_count, count(*) FILTER (category = 'main' OR (category <> 'haiku_holdover' AND (contains(coalesce(name, ''), 'Internal_Prompt') OR contains(coalesce(name, ''), 'Final_Output')))) AS turn_count,
            count(*) FILTER (category = 'tools') AS tool_call_count, count(*) FILTER (upper(coalesce(status_code, '')) IN ('ERROR', 'FAILED', 'FAILURE')) AS failure_count,
@@ -459,10 +466,13 @@ def dedupe_keep_nulls(spark, d):
     return unify.keep_last(_spans(spark, d).select("id", "trace_id"), ["trace_id"], keep_null_keys=True).select("id")
 
 
-@register("SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY span_id ORDER BY source = 'arize-main' DESC, id DESC) AS r FROM spans) WHERE r = 1")
+@register("""
+    SELECT id, span_id, session_id, CASE WHEN source <> 'arize-main' THEN name END AS name, CASE WHEN source = 'arize-main' THEN status_code END AS status_code FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY source = 'arize-main' DESC, id DESC) AS r FROM spans) WHERE r = 1
+""")
 def unify_sources(spark, d):
+    """Both halves with columns of their own, which the other lacks."""
     old, new = _halves(spark, d)
-    return unify.unify(old.select("id", "span_id", "session_id"), new.select("id", "span_id", "session_id")).select("id")
+    return unify.unify(old.select("id", "span_id", "session_id", "name"), new.select("id", "span_id", "session_id", "status_code"))
 
 
 @register("""

@@ -164,9 +164,33 @@ def read_source(spark: SparkSession, root: str, name: str) -> DataFrame:
         return read_spans(spark, at).withColumn("source", F.coalesce("source", F.lit(name)))
     if exists(spark, f"{root}/{name}.jsonl"):
         return read_nested_sessions(spark, f"{root}/{name}.jsonl").withColumn("source", F.coalesce("source", F.lit(name)))
+    p, fs = _fs(spark, root)
+    older = [f for f in (fs.listStatus(p) if fs.exists(p) else []) if f.getPath().getName().startswith(f"{name}_") and f.getPath().getName().endswith(".jsonl")]
+    if older:  # sessions of before there was one file a source: the newest
+        newest = max(older, key=lambda f: (f.getModificationTime(), f.getPath().getName()))
+        return read_nested_sessions(spark, newest.getPath().toString()).withColumn("source", F.coalesce("source", F.lit(name)))
     raise FileNotFoundError(f"{root}: no source {name}")
 
 
+def read_all(spark: SparkSession, root: str) -> DataFrame:
+    """The spans of all sources below root, each with its source; a span that several have comes from each. FileNotFoundError if there is none."""
+    out = None
+    for name in sorted(find_sources(spark, root)):
+        df = read_source(spark, root, name)
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        raise FileNotFoundError(f"{root}: no sources")
+    return out
+
+
+def read_raw(spark: SparkSession, folder: str, *, modified_after: str | None = None) -> DataFrame:
+    """The spans of a folder's raw files, sync_*.jsonl; damaged lines are skipped, no files give no rows."""
+    p, fs = _fs(spark, folder)
+    if not any(f.getPath().getName().startswith("sync_") for f in (fs.listStatus(p) if fs.exists(p) else [])):
+        return spark.createDataFrame([], schemas.SPANS)
+    return read_span_lines(spark, f"{folder}/sync_*.jsonl", modified_after=modified_after)
+
+
 def read_span_lines(spark: SparkSession, path: str, *, strict: bool = False, modified_after: str | None = None) -> DataFrame:
     """Spans of JSON lines, one a line. strict: a damaged line fails, else it is skipped. modified_after: only files changed since then."""
     fields = StructType.fromDDL(schemas.SPANS)
