@@ -17,6 +17,10 @@ from tracequarry.session import written
 from tracequarry.sources import readers, schemas
 
 
+# Fixed value: times in text keep their microseconds, which the usual format drops.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def _key(df: DataFrame) -> Column:
     """What tells spans apart: trace and span id, of spans without a span id the whole row."""
     row = F.to_json(F.struct(*(c for c in StructType.fromDDL(schemas.SPANS).fieldNames() if c != "source")))
@@ -65,7 +69,7 @@ def write_events(events: DataFrame, path: str) -> dict[str, int]:
 
 def write_nested_sessions(spans: DataFrame, path: str) -> None:
     """JSON lines, a session with its spans each; a very long session has several lines, its parts."""
-    query.nested_sessions(spans).write.mode("overwrite").json(path)
+    query.nested_sessions(spans).write.mode("overwrite").option("timestampFormat", MICROS).json(path)
 
 
 def update_categories(catalog: DataFrame, updates: DataFrame) -> DataFrame:
@@ -92,16 +96,16 @@ def savings(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def append_raw(spans: DataFrame, path: str, backend: str) -> None:
-    spans.withColumns({"_backend": F.lit(backend), "_sync_time": F.current_timestamp()}).write.mode("append").json(path)
+    spans.withColumns({"_backend": F.lit(backend), "_sync_time": F.current_timestamp()}).write.mode("append").option("timestampFormat", MICROS).json(path)
 
 
 def write(df: DataFrame, form: str, path: str) -> None:
     """All rows to a folder, through Spark: json, csv (nested values as JSON, session_id first, then columns by name) or markdown (a file a task, rows as table lines)."""
     if form == "json":
-        df.write.mode("overwrite").json(path)
+        df.write.mode("overwrite").option("timestampFormat", MICROS).json(path)
     elif form == "csv":
         flat = [F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in df.dtypes]
-        df.select(*flat).select(*_columns(df)).write.mode("overwrite").option("header", "true").csv(path)
+        df.select(*flat).select(*_columns(df)).write.mode("overwrite").option("header", "true").option("timestampFormat", MICROS).csv(path)
     elif form == "markdown":
         cells = [F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", r"\\\\|"), "\n", " ") for c in df.columns]
         df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")).write.mode("overwrite").text(path)
