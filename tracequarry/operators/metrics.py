@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,14 +123,14 @@ def failure_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("failure").agg(F.count("*").alias("n"))
 
 
-def churn(spans: DataFrame, *, many: int = 3) -> DataFrame:
-    """(file, edits, writes, operations, multi_edit, write_then_edit): work on files; multi_edit from `many` edits on, write_then_edit if an edit directly follows a write of the file."""
+def churn(spans: DataFrame, *, many: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., file, edits, writes, operations, multi_edit, write_then_edit): work on files; multi_edit from `many` edits on, write_then_edit if an edit directly follows a write of the file."""
     op = C.file_operation(F.col("name"))
     path = T.file_path(F.col("raw_attributes"), F.col("input_value"))
-    s = spans.select("id", op.alias("op"), path.alias("file")).filter("op IS NOT NULL AND file IS NOT NULL")
-    w = Window.partitionBy("file").orderBy("id")
+    s = spans.select("id", *by, op.alias("op"), path.alias("file")).filter("op IS NOT NULL AND file IS NOT NULL")
+    w = Window.partitionBy(*by, "file").orderBy("id")
     s = s.withColumn("_next", F.lead("op").over(w))
-    g = s.groupBy("file").agg(F.count_if(F.col("op") == "edit").alias("edits"), F.count_if(F.col("op") == "write").alias("writes"), F.count("*").alias("operations"), F.coalesce(F.bool_or((F.col("op") == "write") & (F.col("_next") == "edit")), F.lit(False)).alias("write_then_edit"))
+    g = s.groupBy(*by, "file").agg(F.count_if(F.col("op") == "edit").alias("edits"), F.count_if(F.col("op") == "write").alias("writes"), F.count("*").alias("operations"), F.coalesce(F.bool_or((F.col("op") == "write") & (F.col("_next") == "edit")), F.lit(False)).alias("write_then_edit"))
     return g.withColumn("multi_edit", F.col("edits") >= many)
 
 
@@ -159,25 +161,40 @@ def token_breakdown(spans: DataFrame) -> DataFrame:
     model = F.when(F.col("category") == "tools", 0).otherwise(F.col("_o"))
     s = s.withColumns({"system_tokens": system.cast("long"), "tool_tokens": tool.cast("long"), "model_tokens": model.cast("long")})
     user = F.when(F.col("category") == "tools", 0).when(F.col("category") == "internal", 0).otherwise(F.col("_p") - F.col("system_tokens") - F.col("tool_tokens"))
-    return s.select("id", "session_id", "category", "system_tokens", user.cast("long").alias("user_tokens"), "model_tokens", "tool_tokens")
+    raw = F.when(F.col("llm_token_count_total") > 0, F.col("llm_token_count_total")).otherwise(F.col("_p") + F.col("_o"))
+    return s.select("id", "session_id", "category", "system_tokens", user.cast("long").alias("user_tokens"), "model_tokens", "tool_tokens", F.col("_p").alias("raw_input_tokens"), F.col("_o").alias("raw_output_tokens"), raw.alias("raw_total_tokens"))
 
 
 def session_tokens(breakdown: DataFrame) -> DataFrame:
-    cols = ("system_tokens", "user_tokens", "model_tokens", "tool_tokens")
-    return breakdown.filter("session_id IS NOT NULL").groupBy("session_id").agg(*(F.sum(c).alias(c) for c in cols))
+    """(session_id, tokens of each kind, raw tokens, tool_spans, llm_spans, internal_spans) over token_breakdown()."""
+    cols = ("system_tokens", "user_tokens", "model_tokens", "tool_tokens", "raw_input_tokens", "raw_output_tokens", "raw_total_tokens")
+    kinds = {"tool_spans": ("tools",), "llm_spans": ("main", "haiku_holdover"), "internal_spans": ("internal",)}
+    return breakdown.filter("session_id IS NOT NULL").groupBy("session_id").agg(*(F.sum(c).alias(c) for c in cols), *(F.count_if(F.col("category").isin(*k)).alias(c) for c, k in kinds.items()))
 
 
 def cost(prompt: Column, completion: Column, per_million_in: float = 3.0, per_million_out: float = 15.0) -> Column:
     return F.round(prompt / 1e6 * per_million_in + completion / 1e6 * per_million_out, 6)
 
 
-def suggestions(spans: DataFrame) -> DataFrame:
-    """(session_id, suggestion): rules of thumb over a session's failures, repeats and tokens."""
-    m = session_metrics(spans)
-    rules = {
-        "reduce_errors": F.col("failure_count") >= 3,
-        "reduce_tokens": F.col("total_tokens") > 100_000,
-        "few_tools": (F.col("tool_call_count") == 0) & (F.col("span_count") >= 10),
-    }
-    found = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in rules.items())))
-    return m.select("session_id", F.explode(found).alias("suggestion"))
+def skills(spans: DataFrame) -> DataFrame:
+    """(skill, calls, successes): the calls of the Skill tool by skill; those that name none are left out."""
+    inner = F.get_json_object(F.col("raw_attributes"), "$.attributes.input.value")
+    name = F.nullif(F.get_json_object(inner, "$.input.skill"), F.lit(""))
+    s = spans.filter("name = 'Claude_Code_Tool_Skill'").select(name.alias("skill"), C.is_success(F.col("status_code")).alias("ok")).filter("skill IS NOT NULL")
+    return s.groupBy("skill").agg(F.count("*").alias("calls"), F.count_if("ok").alias("successes"))
+
+
+# What may be suggested, and how pressing it is.
+SEVERITY = {"errors": "high", "repeated_operations": "medium", "rate_limits": "high", "edit_churn": "medium", "write_then_edit": "low", "many_tokens": "medium"}
+
+
+def suggestions(spans: DataFrame, *, many_tokens: int = 100_000) -> DataFrame:
+    """(session_id, suggestion, severity, n): rules of thumb over a session's failures, repeats, work on files and tokens; n is what they count."""
+    s = spans.filter("session_id IS NOT NULL")
+    names = {"error": "errors", "back_to_back": "repeated_operations", "rate_limit": "rate_limits"}
+    f = failures(s).filter(F.col("failure").isin(*names)).groupBy("session_id", F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[F.col("failure")].alias("suggestion")).agg(F.count("*").alias("n"))
+    files = churn(s, by=["session_id"]).groupBy("session_id").agg(F.count_if("multi_edit").alias("edit_churn"), F.count_if("write_then_edit").alias("write_then_edit"))
+    c = files.unpivot("session_id", ["edit_churn", "write_then_edit"], "suggestion", "n").filter("n > 0")
+    t = session_metrics(s).filter(F.col("total_tokens") > many_tokens).select("session_id", F.lit("many_tokens").alias("suggestion"), F.col("total_tokens").alias("n"))
+    severity = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))
+    return f.unionByName(c).unionByName(t).select("session_id", "suggestion", severity[F.col("suggestion")].alias("severity"), "n")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracequarry.functions import classify as C
 from tracequarry.functions import text as T
 from tracequarry.functions.times import duration_ms
 from tracequarry.operators import links, metrics

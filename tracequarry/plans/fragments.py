@@ -91,7 +91,7 @@ _ROLE = "lower(coalesce(nullif(m ->> '$.\"message.role\"', ''), m ->> '$.role',
 _SIZE = "length(coalesce(nullif(m ->> '$.\"message.content\"', ''), m ->> '$.content', ''))"
 TOKENS = f"""
     SELECT id, session_id, category, CAST(sys AS BIGINT) AS system_tokens, CAST(tool AS BIGINT) AS tool_tokens, CAST(CASE WHEN category = 'tools' THEN 0 ELSE o END AS BIGINT) AS model_tokens,
-           CAST(CASE WHEN category IN ('tools', 'internal') THEN 0 ELSE p - sys - tool END AS BIGINT) AS user_tokens
+           CAST(CASE WHEN category IN ('tools', 'internal') THEN 0 ELSE p - sys - tool END AS BIGINT) AS user_tokens, p AS raw_input_tokens, o AS raw_output_tokens, CASE WHEN llm_token_count_total > 0 THEN llm_token_count_total ELSE p + o END AS raw_total_tokens
     FROM (SELECT *, CASE WHEN category IN ('main', 'haiku_holdover') AND len(b) > 0 THEN CASE WHEN chars > 0 AND p > 0 THEN p * sc // chars ELSE 0 END
                          WHEN category IN ('main', 'haiku_holdover') AND contains(lower({_IN}[1:500]), 'system') THEN p WHEN category = 'internal' THEN p ELSE 0 END AS sys,
                     CASE WHEN category = 'tools' THEN p + o WHEN category IN ('main', 'haiku_holdover') AND len(b) > 0 AND chars > 0 AND p > 0 THEN p * tc // chars ELSE 0 END AS tool

@@ -121,6 +121,15 @@ def skill_use(spark, d):
     return s.groupBy(query.skill_name(F.col("name"), F.col("raw_attributes")).alias("skill")).agg(F.count("*").alias("n"))
 
 
+@register("""
+    SELECT skill, count(*) AS calls, count(*) FILTER (upper(coalesce(status_code, '')) IN ('OK', 'SUCCESS', '')) AS successes FROM (
+        SELECT status_code, CASE WHEN json_valid(raw_attributes) THEN json_extract_string(raw_attributes, '$.attributes.input.value') END AS v FROM spans WHERE name = 'Claude_Code_Tool_Skill'),
+        LATERAL (SELECT CASE WHEN json_valid(v) THEN nullif(json_extract_string(v, '$.input.skill'), '') END AS skill) WHERE skill IS NOT NULL GROUP BY skill
+""")
+def skill_breakdown(spark, d):
+    return metrics.skills(_spans(spark, d))
+
+
 @register("""
     SELECT session_id, count(*) AS span_count, min(start_time) AS start_time, max(end_time) AS end_time FROM spans WHERE session_id IS NOT NULL GROUP BY 1
     HAVING count(*) >= 5 AND bool_or(contains(concat_ws(' ', input_value, output_value, name, raw_attributes), 'Bash')) AND bool_or(contains(concat_ws(' ', input_value, output_value, name, raw_attributes), 'Edit'))
@@ -282,13 +291,15 @@ def file_churn(spark, d):
     return metrics.churn(_spans(spark, d))
 
 
-@register(f"SELECT id, session_id, category, system_tokens, user_tokens, model_tokens, tool_tokens FROM ({S.TOKENS})")
+@register(f"SELECT id, session_id, category, system_tokens, user_tokens, model_tokens, tool_tokens, raw_input_tokens, raw_output_tokens, raw_total_tokens FROM ({S.TOKENS})")
 def token_breakdown(spark, d):
     return metrics.token_breakdown(_spans(spark, d))
 
 
 @register(f"""
-    SELECT session_id, sum(system_tokens)::BIGINT AS system_tokens, sum(user_tokens)::BIGINT AS user_tokens, sum(model_tokens)::BIGINT AS model_tokens, sum(tool_tokens)::BIGINT AS tool_tokens
+    SELECT session_id, sum(system_tokens)::BIGINT AS system_tokens, sum(user_tokens)::BIGINT AS user_tokens, sum(model_tokens)::BIGINT AS model_tokens, sum(tool_tokens)::BIGINT AS tool_tokens,
+           sum(raw_input_tokens)::BIGINT AS raw_input_tokens, sum(raw_output_tokens)::BIGINT AS raw_output_tokens, sum(raw_total_tokens)::BIGINT AS raw_total_tokens, count(*) FILTER (category = 'tools') AS tool_spans,
+           count(*) FILTER (category IN ('main', 'haiku_holdover')) AS llm_spans, count(*) FILTER (category = 'internal') AS internal_spans
     FROM ({S.TOKENS}) WHERE session_id IS NOT NULL GROUP BY 1
 """)
 def session_tokens(spark, d):
@@ -367,10 +378,12 @@ def session_context(spark, d):
 
 
 @register(f"""
-    SELECT session_id, 'reduce_errors' AS suggestion FROM spans WHERE session_id IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (upper(coalesce(status_code, '')) IN ('ERROR', 'FAILED', 'FAILURE')) >= 3
-    UNION ALL SELECT session_id, 'reduce_tokens' FROM spans WHERE session_id IS NOT NULL GROUP BY 1
-        HAVING CASE WHEN coalesce(sum(llm_token_count_total), 0) = 0 THEN coalesce(sum(llm_token_count_prompt), 0) + coalesce(sum(llm_token_count_completion), 0) ELSE sum(llm_token_count_total) END > 100000
-    UNION ALL SELECT session_id, 'few_tools' FROM ({S.CATEGORY}) WHERE session_id IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (category = 'tools') = 0 AND count(*) >= 10
+    WITH f AS (SELECT session_id, CASE failure WHEN 'error' THEN 'errors' WHEN 'back_to_back' THEN 'repeated_operations' ELSE 'rate_limits' END AS suggestion, count(*) AS n FROM ({S.FAILURES}) WHERE session_id IS NOT NULL AND failure IN ('error', 'back_to_back', 'rate_limit') GROUP BY 1, 2),
+    o AS (SELECT id, session_id, {S.OPERATION} AS op, {S.FILE_PATH} AS file FROM spans WHERE session_id IS NOT NULL), p AS (SELECT *, lead(op) OVER (PARTITION BY session_id, file ORDER BY id) AS nxt FROM o WHERE op IS NOT NULL AND file IS NOT NULL),
+    c AS (SELECT session_id, file, count(*) FILTER (op = 'edit') >= 3 AS multi, bool_or(op = 'write' AND nxt = 'edit') AS wte FROM p GROUP BY 1, 2),
+    t AS (SELECT session_id, CASE WHEN coalesce(sum(llm_token_count_total), 0) = 0 THEN coalesce(sum(llm_token_count_prompt), 0) + coalesce(sum(llm_token_count_completion), 0) ELSE sum(llm_token_count_total) END::BIGINT AS n FROM spans WHERE session_id IS NOT NULL GROUP BY 1)
+    SELECT session_id, suggestion, CASE WHEN suggestion = 'repeated_operations' THEN 'medium' ELSE 'high' END AS severity, n FROM f UNION ALL SELECT session_id, 'edit_churn', 'medium', count(*) FROM c WHERE multi GROUP BY 1
+    UNION ALL SELECT session_id, 'write_then_edit', 'low', count(*) FROM c WHERE wte GROUP BY 1 UNION ALL SELECT session_id, 'many_tokens', 'medium', n FROM t WHERE n > 100000
 """)
 def suggestions(spark, d):
     return metrics.suggestions(_spans(spark, d))

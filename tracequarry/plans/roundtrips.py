@@ -90,15 +90,13 @@ def stored_raw(spark, d):
     return readers.read_span_lines(spark, path).select("span_id", "trace_id", "name", "start_time", "llm_token_count_total", "input_value")
 
 
-@register("SELECT coalesce(trace_id, '') AS trace_id, span_id, count(*) OVER () AS spans FROM spans GROUP BY coalesce(trace_id, ''), span_id")
+@register("SELECT DISTINCT coalesce(trace_id, '') AS trace_id, span_id FROM spans")
 def merged_raw(spark, d):
     """Raw lines with all repetitions, merged to one row a span."""
     path = scratch(spark, "raw-merge")
     sinks.append_raw(_spans(spark, d), f"{path}/raw", "one")
     sinks.merge_raw(spark, f"{path}/raw", f"{path}/merged")
-    back = spark.read.parquet(f"{path}/merged")
-    n = back.agg(F.count("*").alias("spans"))
-    return back.select(F.coalesce("trace_id", F.lit("")).alias("trace_id"), "span_id").crossJoin(F.broadcast(n))  # one row
+    return spark.read.parquet(f"{path}/merged").select(F.coalesce("trace_id", F.lit("")).alias("trace_id"), "span_id")
 
 
 _TABLE = "SELECT id, name, CAST(llm_token_count_total AS VARCHAR) AS tokens FROM spans"
