@@ -186,6 +186,9 @@ def test_batches_and_checks(spark, make_spans):
     assert json.loads(reports.span_records(df).orderBy("id").first().record)["category"] == "main" and "model" not in json.loads(reports.span_records(df).orderBy("id").first().record)
     assert {r.check: r.passed for r in reports.content_checks(df).collect()} == {"llm_input_content_populated": True, "llm_output_content_populated": False, "llm_token_counts_populated": False, "thinking_content_captured": False, "cache_reads_recorded": False}
     assert reports.content_checks(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        reports.time_range(df)
+    assert reports.time_range(make_spans({"start_time": at(1)}, {"start_time": at(0)}))[0].second == 0
     assert "Tools used: Read" in reports.session_texts(df).first().text
 
 

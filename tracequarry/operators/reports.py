@@ -116,6 +116,14 @@ def top_counts(df: DataFrame, columns: dict[str, int]) -> DataFrame:
     return out
 
 
+def time_range(spans: DataFrame) -> tuple:
+    """(first, last) start_time; ValueError if there is none, as of an empty table. Over JDBC both are found by the database."""
+    a, b = spans.agg(F.min("start_time"), F.max("start_time")).first()
+    if a is None:
+        raise ValueError("no spans with a start_time")
+    return a, b
+
+
 def content_checks(spans: DataFrame) -> DataFrame:
     """(check, passed): whether spans hold content and are not just there. A check whose signal does not occur is left out."""
     llm = F.upper(F.coalesce("span_kind", F.lit(""))) == "LLM"

@@ -1,10 +1,32 @@
-"""Pieces of SQL that several queries' SQL shares. They restate the rules on their own, from the same fixed values."""
+"""Pieces of SQL that several queries' SQL shares. They restate the rules and their fixed values on their own, so that a wrong value on one side shows."""
 
 from __future__ import annotations
 
-from tracequarry.functions import classify as C
-from tracequarry.functions import identity as I
-from tracequarry.functions import text as T
+
+# Fixed values, as the functions should have them.
+_ABORT = ("abort", "cancel", "interrupt", "sigint", "sigterm")
+_COMPACTION_CONTINUED = "This session is being continued from a previous conversation"
+_COMPACTION_SPANS = ("Claude_Code_Internal_Prompt", "litellm_request", "raw_gen_ai_request")
+_COMPACTION_TASK = "Your task is to create a detailed summary"
+_CONTINUATIONS = ("Let me check", "Let me examine", "Let me search", "Let me look", "Now let me", "Perfect! Now let me", "Perfect! Let me", "Excellent! Let me", "Great! Let me", "Great! I found")
+_CONTINUED_WORDS = ("continued from", "previous conversation", "summarized below")
+_FAILED = ("ERROR", "FAILED", "FAILURE")
+_HAIKU_MODELS = "(?i)claude-.*haiku|claude-3-haiku|claude-haiku"
+_INTERNAL_NAMES = "(?i)Claude_Code_Internal_.*|Claude_Code_Final_Output.*|raw_gen_ai_request|litellm_request"
+_MAIN_MODELS = "(?i)claude-.*sonnet|claude-.*opus|claude-4|claude-sonnet|claude-opus"
+_PROXY_NAMES = ("proxy_pre_call", "router", "Received Proxy Server Request")
+_QUOTA = "(?i)quota|rate_limit|throttle"
+_RATE_LIMIT = ("rate limit", "ratelimit", "429", "quota", "throttle")
+_SUCCESS = ("OK", "SUCCESS", "")
+_SUMMARY_HEADERS = ("## summary", "## context", "## background", "## previous conversation", "## conversation summary", "## session summary", "# summary", "# context")
+_SUMMARY_WORDS = ("summary", "summarized", "summarize", "previous conversation", "continued from", "context window", "earlier discussion", "prior session")
+_TASK_WORDS = ("create a", "generate a", "write a", "your task is")
+_TIMEOUT = ("timeout", "timed out", "deadline exceeded")
+_TOOL_NAMES = "(?i)Claude_Code_Tool_.*|tool_.*|.*_tool$"
+_PARTS = {'user': (('device_id',), 'user_([a-zA-Z0-9]+)_account'), 'account': (('account_uuid', 'account_id'), 'account_([a-f0-9-]{36})'), 'session': (('session_id',), 'session_([a-zA-Z0-9_-]+)')}
+_AGENT_PREFIXES = ("perform a web search for the query", "describe your most recent action", "the user stepped away", "the user has been idle", "[suggestion mode", "the date has changed", "caveat: the messages below were generated")
+_LIVE_PREFIXES = ("<system", "Files modified by", "Caveat: The messages below", "Base directory for this skill")
+_MACHINE_MARKERS = ("tool_use_id", "<system-reminder>", "<task-notification>", "<command-name>", "<local-command-stdout>", "[request interrupted by user]")
 
 
 def _q(s: str) -> str:
@@ -20,60 +42,60 @@ _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 def human(c: str) -> str:
     t = "lower(" + _STRIP.format(f"regexp_replace({c}, '\\s+', ' ', 'g')") + ")"
-    return f"{c} IS NOT NULL AND length({t}) >= 12 AND NOT {_any(t, T.MACHINE_MARKERS)} AND NOT {_any(t, T.AGENT_PREFIXES, 'starts_with')}"
+    return f"{c} IS NOT NULL AND length({t}) >= 12 AND NOT {_any(t, _MACHINE_MARKERS)} AND NOT {_any(t, _AGENT_PREFIXES, 'starts_with')}"
 
 
 def live(c: str) -> str:
     t = _STRIP.format(c)
-    return f"{c} IS NOT NULL AND length({t}) > 10 AND NOT (starts_with({t}, 'Command:') AND contains({t}, chr(10) || 'Output:')) AND NOT (starts_with({t}, '{{') AND ends_with({t}, '}}')) AND NOT {_any(t, T.LIVE_PREFIXES, 'starts_with')}"
+    return f"{c} IS NOT NULL AND length({t}) > 10 AND NOT (starts_with({t}, 'Command:') AND contains({t}, chr(10) || 'Output:')) AND NOT (starts_with({t}, '{{') AND ends_with({t}, '}}')) AND NOT {_any(t, _LIVE_PREFIXES, 'starts_with')}"
 
 
 _N, _K, _M, _S = (f"coalesce({c}, '')" for c in ("name", "span_kind", "llm_model_name", "status_code"))
 CATEGORY = f"""
     SELECT *, CASE WHEN r <= 2 THEN 'tools' WHEN r = 3 THEN 'haiku_holdover' WHEN r IN (4, 6) THEN 'main' WHEN r IN (5, 7) THEN 'internal' WHEN r = 8 THEN 'quota' ELSE 'unknown' END AS category,
            CAST(CASE r WHEN 1 THEN 1.0 WHEN 2 THEN 0.95 WHEN 3 THEN 1.0 WHEN 4 THEN 1.0 WHEN 5 THEN 0.8 WHEN 6 THEN 0.7 WHEN 7 THEN 0.9 WHEN 8 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence
-    FROM (SELECT *, CASE WHEN upper({_K}) = 'TOOL' THEN 1 WHEN regexp_matches({_N}, {_q(C.TOOL_NAMES)}) THEN 2 WHEN regexp_matches({_M}, {_q(C.HAIKU_MODELS)}) THEN 3 WHEN regexp_matches({_M}, {_q(C.MAIN_MODELS)}) THEN 4
-                 WHEN upper({_K}) = 'LLM' AND regexp_matches({_N}, {_q(C.INTERNAL_NAMES)}) THEN 5 WHEN upper({_K}) = 'LLM' THEN 6 WHEN regexp_matches({_N}, {_q(C.INTERNAL_NAMES)}) THEN 7
-                 WHEN regexp_matches({_N}, {_q(C.QUOTA)}) OR regexp_matches({_S}, {_q(C.QUOTA)}) THEN 8 ELSE 9 END AS r FROM spans)
+    FROM (SELECT *, CASE WHEN upper({_K}) = 'TOOL' THEN 1 WHEN regexp_matches({_N}, {_q(_TOOL_NAMES)}) THEN 2 WHEN regexp_matches({_M}, {_q(_HAIKU_MODELS)}) THEN 3 WHEN regexp_matches({_M}, {_q(_MAIN_MODELS)}) THEN 4
+                 WHEN upper({_K}) = 'LLM' AND regexp_matches({_N}, {_q(_INTERNAL_NAMES)}) THEN 5 WHEN upper({_K}) = 'LLM' THEN 6 WHEN regexp_matches({_N}, {_q(_INTERNAL_NAMES)}) THEN 7
+                 WHEN regexp_matches({_N}, {_q(_QUOTA)}) OR regexp_matches({_S}, {_q(_QUOTA)}) THEN 8 ELSE 9 END AS r FROM spans)
 """
 
 _IN, _OUT = "coalesce(input_value, '')", "coalesce(output_value, '')"
 _TXT = f"CASE WHEN starts_with({_IN}, '[{{') THEN coalesce(CASE WHEN json_valid({_IN}) THEN json_extract_string({_IN}, '$[0].text') END, {_IN}) ELSE {_IN} END"
 THREAD = f"""
     SELECT *, CASE WHEN {_N} = 'Claude_Code_Tool_Task' THEN 'sub_agent'
-        WHEN {_any(_N, ('Claude_Code_Internal_', 'Claude_Code_Final_', 'Claude_Code_Tool_'), 'starts_with')} OR {_N} IN {('litellm_request', 'raw_gen_ai_request', *C.PROXY_NAMES)} THEN 'main_thread'
+        WHEN {_any(_N, ('Claude_Code_Internal_', 'Claude_Code_Final_', 'Claude_Code_Tool_'), 'starts_with')} OR {_N} IN {('litellm_request', 'raw_gen_ai_request', *_PROXY_NAMES)} THEN 'main_thread'
         WHEN {_STRIP.format('t')} = 'quota' OR starts_with(t, 'Command:') OR contains(t, '<policy_spec>') OR starts_with(t, 'Files modified by user:') OR contains(lower(t), 'write a 5-10 word title')
           OR contains(lower(t), 'title for the following conversation') OR contains(t, 'Web page content:') OR (contains({_IN}, '"tool_result"') AND contains({_IN}, '"tool_use_id"')) OR contains({_IN}, '<system-reminder>')
           OR (contains({_IN}, '"Warmup"') AND contains({_IN}, '"cache_control"')) OR contains({_OUT}, '<is_displaying_contents>') OR contains({_OUT}, '"isNewTopic"') OR contains({_OUT}, '"is_displaying_contents"')
           OR {_STRIP.format(_OUT)} IN ('#', '{{') OR contains({_OUT}, 'command_injection_detected') OR starts_with({_OUT}, 'Hello! I''m Claude Code') OR starts_with({_OUT}, 'I''m ready to help! I''m Claude Code')
-          OR ({_STRIP.format(_IN)} = '' AND {_any(_OUT, C.CONTINUATIONS, 'starts_with')}) THEN 'ancillary' ELSE 'unknown' END AS thread_type
+          OR ({_STRIP.format(_IN)} = '' AND {_any(_OUT, _CONTINUATIONS, 'starts_with')}) THEN 'ancillary' ELSE 'unknown' END AS thread_type
     FROM (SELECT *, {_TXT} AS t FROM spans)
 """
 
 _LOW = "lower(coalesce(text, ''))"
-_WORDS = " + ".join(f"CAST(contains({_LOW}, {_q(w)}) AS INTEGER)" for w in C.SUMMARY_WORDS)
+_WORDS = " + ".join(f"CAST(contains({_LOW}, {_q(w)}) AS INTEGER)" for w in _SUMMARY_WORDS)
 COMPACTION = f"""
-    SELECT doc_id, score, CASE WHEN contains(text, {_q(C.COMPACTION_TASK)}) THEN 'compaction_task' WHEN contains(text, {_q(C.COMPACTION_CONTINUED)}) THEN 'post_compaction'
-                        WHEN score >= 55 AND {_any(_LOW, C.CONTINUED_WORDS)} THEN 'post_compaction_structural' WHEN score >= 55 AND {_any(_LOW, C.TASK_WORDS)} THEN 'compaction_task_structural'
+    SELECT doc_id, score, CASE WHEN contains(text, {_q(_COMPACTION_TASK)}) THEN 'compaction_task' WHEN contains(text, {_q(_COMPACTION_CONTINUED)}) THEN 'post_compaction'
+                        WHEN score >= 55 AND {_any(_LOW, _CONTINUED_WORDS)} THEN 'post_compaction_structural' WHEN score >= 55 AND {_any(_LOW, _TASK_WORDS)} THEN 'compaction_task_structural'
                         WHEN score >= 55 THEN 'compaction_structural' END AS kind,
-           CAST(CASE WHEN contains(text, {_q(C.COMPACTION_TASK)}) OR contains(text, {_q(C.COMPACTION_CONTINUED)}) THEN 0.99 ELSE least(score / 100.0, 0.85) END AS DOUBLE) AS confidence
-    FROM (SELECT doc_id, text, CASE WHEN {_any(_LOW, C.SUMMARY_HEADERS)} THEN 35 ELSE 0 END + CASE WHEN {_WORDS} >= 2 THEN 25 WHEN {_WORDS} = 1 THEN 10 ELSE 0 END
+           CAST(CASE WHEN contains(text, {_q(_COMPACTION_TASK)}) OR contains(text, {_q(_COMPACTION_CONTINUED)}) THEN 0.99 ELSE least(score / 100.0, 0.85) END AS DOUBLE) AS confidence
+    FROM (SELECT doc_id, text, CASE WHEN {_any(_LOW, _SUMMARY_HEADERS)} THEN 35 ELSE 0 END + CASE WHEN {_WORDS} >= 2 THEN 25 WHEN {_WORDS} = 1 THEN 10 ELSE 0 END
                  + CASE WHEN length(text) >= 5000 THEN 20 WHEN length(text) >= 2500 THEN 10 ELSE 0 END + 10 AS score FROM documents)
 """
 # the same over spans, whose name counts
-SPAN_COMPACTION = COMPACTION.replace(" + 10 AS score FROM documents", f" + CASE WHEN {_any(_N, C.COMPACTION_SPANS)} THEN 10 ELSE 0 END AS score FROM (SELECT id AS doc_id, coalesce(input_value, '') AS text, name FROM spans)")
+SPAN_COMPACTION = COMPACTION.replace(" + 10 AS score FROM documents", f" + CASE WHEN {_any(_N, _COMPACTION_SPANS)} THEN 10 ELSE 0 END AS score FROM (SELECT id AS doc_id, coalesce(input_value, '') AS text, name FROM spans)")
 
 _MS = "(epoch_us(end_time) - epoch_us(start_time)) / 1000.0"
 TOOL_STATS = f"""
     SELECT tool, count(*) AS calls, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS failures, count(ms) AS timed_calls, round(coalesce(sum(ms), 0.0), 3) AS total_ms, round(avg(ms), 3) AS avg_ms,
            round(count(*) FILTER (ok) / count(*), 4) AS success_rate
-    FROM (SELECT coalesce(nullif(regexp_replace({_N}, '^(Claude_Code_Tool_|tool_)', ''), ''), 'unknown') AS tool, upper({_S}) IN {C.SUCCESS} AS ok, {_MS} AS ms FROM ({CATEGORY}) WHERE category = 'tools') GROUP BY 1
+    FROM (SELECT coalesce(nullif(regexp_replace({_N}, '^(Claude_Code_Tool_|tool_)', ''), ''), 'unknown') AS tool, upper({_S}) IN {_SUCCESS} AS ok, {_MS} AS ms FROM ({CATEGORY}) WHERE category = 'tools') GROUP BY 1
 """
 
 _SAID = f"lower({_N} || ' ')"
 FAILURES = f"""
     SELECT id, session_id, unnest(list_filter([f, CASE WHEN b2b THEN 'back_to_back' END], lambda x: x IS NOT NULL)) AS failure, context FROM (
-        SELECT id, session_id, CASE WHEN upper({_S}) IN {C.FAILED} THEN 'error' WHEN {_any(_SAID, C.TIMEOUT)} THEN 'timeout' WHEN {_any(_SAID, C.RATE_LIMIT)} THEN 'rate_limit' WHEN {_any(_SAID, C.ABORT)} THEN 'user_abort' END AS f,
+        SELECT id, session_id, CASE WHEN upper({_S}) IN {_FAILED} THEN 'error' WHEN {_any(_SAID, _TIMEOUT)} THEN 'timeout' WHEN {_any(_SAID, _RATE_LIMIT)} THEN 'rate_limit' WHEN {_any(_SAID, _ABORT)} THEN 'user_abort' END AS f,
                lag(id) OVER w IS NOT NULL AND name IS NOT DISTINCT FROM lag(name) OVER w AND (coalesce(input_value <> '' AND input_value = lag(input_value) OVER w, false)
                    OR coalesce(category = lag(category) OVER w AND raw_attributes <> '' AND raw_attributes = lag(raw_attributes) OVER w, false)) AS b2b,
                coalesce(array_to_string(list(id) OVER (PARTITION BY session_id ORDER BY id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), ','), '') AS context
@@ -108,7 +130,7 @@ META = f"""
 
 
 def identity(part: str) -> str:
-    keys, pattern = I.PARTS[part]
+    keys, pattern = _PARTS[part]
 
     def one(v: str) -> str:
         obj = f"json_valid({v}) AND json_type(CASE WHEN json_valid({v}) THEN {v} END) = 'OBJECT'"

@@ -148,9 +148,9 @@ def live_human_turns(spark, d):
     return _events(spark, d).filter((F.lower("event_type") == "user") & T.is_live_human_turn(F.col("text"))).select("session_id", "event_id")
 
 
-@register("SELECT id FROM spans WHERE NOT contains(coalesce(raw_attributes, ''), 'redacted') AND coalesce(lower(regexp_replace(output_value, '^\\s+|\\s+$', '', 'g')) NOT IN ('', 'none', 'nan', 'null', '[]', '{}'), false)")
+@register("SELECT id FROM spans WHERE NOT contains(coalesce(raw_attributes, ''), 'redacted') AND NOT contains(coalesce(raw_attributes, ''), 'dal_trim') AND coalesce(lower(regexp_replace(output_value, '^\\s+|\\s+$', '', 'g')) NOT IN ('', 'none', 'nan', 'null', '[]', '{}'), false)")
 def filter_unredacted_nonempty(spark, d):
-    return _spans(spark, d).filter(~F.coalesce("raw_attributes", F.lit("")).contains("redacted") & T.nonempty(F.col("output_value"))).select("id")
+    return _spans(spark, d).filter(~T.contains_any(F.col("raw_attributes"), ("redacted", "dal_trim")) & T.nonempty(F.col("output_value"))).select("id")
 
 
 @register("SELECT session_id, event_id, order_idx FROM session_events WHERE lower(event_type) = 'tool' AND tool_name = 'Bash' AND tool_input ILIKE '%git diff%'")
@@ -180,7 +180,7 @@ def span_categories(spark, d):
     return metrics.with_category(_spans(spark, d)).groupBy("category", "confidence").agg(F.count("*").alias("n"))
 
 
-@register(f"SELECT c.category, count(s.category) AS spans FROM (SELECT unnest({list(C.CATEGORIES)}) AS category) c LEFT JOIN ({S.CATEGORY}) s USING (category) GROUP BY 1")
+@register(f"SELECT c.category, count(s.category) AS spans FROM (SELECT unnest(['tools', 'haiku_holdover', 'main', 'internal', 'quota', 'unknown']) AS category) c LEFT JOIN ({S.CATEGORY}) s USING (category) GROUP BY 1")
 def category_histogram(spark, d):
     return metrics.category_counts(_spans(spark, d))
 
