@@ -86,6 +86,9 @@ _ANY_NAMES = (
     ("uncased", regex.compile(r"(?<![\p{L}\p{M}])(\p{Lo}[\p{Lo}\p{M}]+)[ ·・](\p{Lo}[\p{Lo}\p{M}]+)(?![\p{L}\p{M}])")),
     ("run", regex.compile(r"(?<![\p{L}\p{M}])([\p{Han}\p{Hangul}])([\p{Han}\p{Hangul}]{1,3})(?![\p{L}\p{M}])")),
 )
+#: What a text must have for a shape to occur in it.
+_NEEDS = {"inverted": ", ", "initial": "."}
+_DIGIT = re.compile(r"\d")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 _STOP = {".", "?", "!", "\n"}
 
@@ -175,8 +178,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str, bool, list[str]]]:
                 host = _DOT.sub(".", host)
                 own = f"{local}@{host}"
                 out.append((a, b, "email", own, False, [f"F {sign.strip()}", f"D {'.'.join(host.split('.')[-2:])}", *_context(text, a, b)]))
-    digits = any(c.isdigit() for c in text)
-    if digits:
+    if _DIGIT.search(text):
         for m in _ID.finditer(text):
             a, b = m.span()
             if free(a, b):
@@ -201,7 +203,9 @@ def candidates(text: str) -> list[tuple[int, int, str, str, bool, list[str]]]:
             seed = s[0] == "+" or bool(re.fullmatch(r"\(\d{3}\) ?\d{3}[ -]\d{4}", s)) or not s.isdigit() and bool(_PHONE_WORDS.search(text[max(0, a - 14) : a]))
             form = [f"F {re.sub(r'\d', '0', s)}", *(["P +"] if s[0] == "+" else [])] if not s.isdigit() else []
             out.append((a, b, "phone", re.sub(r"\D", "", s), seed, [*form, *_context(text, a, b)]))
-    for _, rx in _ASCII_NAMES if plain else _ANY_NAMES:
+    for shape, rx in _ASCII_NAMES if plain else _ANY_NAMES:
+        if _NEEDS.get(shape, "") not in text:
+            continue
         at = 0
         while m := rx.search(text, at):
             a, b = m.span()
