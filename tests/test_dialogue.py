@@ -67,6 +67,21 @@ def test_turns_and_links(spark, make_spans):
     assert dialogue.turns(df.limit(0), m.limit(0)).count() == 0
 
 
+def test_results_are_linked_to_the_turn_that_called(spark, make_spans, monkeypatch):
+    """With a rule that takes results for side requests: each is linked to the last turn up to it that made the call."""
+    kind = F.when(F.col("input_value").contains("tool_result"), "ancillary").otherwise("main_thread")
+    monkeypatch.setattr(dialogue.C, "thread", lambda: F.struct(kind.alias("type"), F.lit("x").alias("reason"), F.lit(1.0).alias("confidence")))
+    use = lambda *ids: json.dumps([{"type": "tool_use", "id": i, "name": "Read"} for i in ids])
+    res = lambda i: json.dumps([{"type": "text", "text": "t"}, {"type": "tool_result", "tool_use_id": i, "content": "c"}])
+    turns = [("1", "ask", use("a", "b")), ("2", res("a"), "x"), ("3", "again", use("a")), ("10", res("a"), use("z")), ("4", res("z"), "x"), ("5", res("never"), "x")]
+    df = make_spans(*({"session_id": "s", "name": "Claude_Code_Internal_Prompt_" + n, "start_time": at(i), "input_value": a, "output_value": b, "raw_attributes": named(U1)} for i, (n, a, b) in enumerate(turns)))
+    m = dialogue.chain_members(df)
+    got = {r.turn_suffix: (r.turn_index, r.tool_use_id, r.linked_turn_index) for r in dialogue.turns(df, m, ancillary=True).collect()}
+    # numbers order the turns, so 10 is the last; z is called only after turn 4
+    assert got == {"1": (0, None, None), "2": (1, "a", 0), "3": (2, None, None), "4": (3, "z", None), "5": (4, "never", None), "10": (5, "a", 2)}
+    assert {r.turn_suffix: r.turn_index for r in dialogue.turns(df, m).collect()} == {"1": 0, "3": 1}
+
+
 def test_events_of_a_chain(spark, make_spans):
     df = chain_spans(make_spans)
     m = dialogue.chain_members(df)
