@@ -304,6 +304,19 @@ def test_seeds_alone_are_not_enough(spark):
     assert got == {(0, "id_number"), (1, "id_number"), (9, "email"), (10, "email")}
 
 
+def test_a_short_list_serves_many_texts(spark):
+    """Twelve known persons among hundreds: they are a small share of every context, but the same of all in which persons stand. Contexts of other things, with few or none of them, stay bad."""
+    word = lambda i, k: "".join("bdfglmnrst"[int(x)] + "aeiou"[int(x) % 5] for x in f"{i:03d}") + k
+    names = [f"{word(i, 'v').title()} {word(i, 'k').title()}" for i in range(600)]
+    other = [f"{word(i, 'p').title()} {word(i, 'x').title()}" for i in range(600)]
+    texts = [f"assigned to {n}" for n in names] + [f"blame says {n} last spring" for n in names] + [f"mail {n.split()[0].lower()}@h{i}.example" for i, n in enumerate(names)]
+    texts += [f"see page {n} for details" for n in other] + [f"rebuild of {n}" for n in names[:3] + other]
+    df = spark.createDataFrame([line("s", f"u{i}", "user", t, None) for i, t in enumerate(texts)], LINE)
+    people = spark.createDataFrame([(n, f"{n.split()[0].lower()}@h{i}.example") for i, n in enumerate(names[:12])], "person_name string, email string")
+    got = {(int(r.uuid[1:]), r.kind) for r in personal.personal_kinds(df, people).collect()}
+    assert got == {(i, "name") for i in range(1200)} | {(i, "email") for i in range(1200, 1800)} | {(i, "name") for i in range(2400, 2403)}
+
+
 def test_names_in_other_scripts(spark):
     names = ["Иван Петров", "Мария Соколова", "Νίκος Παππάς", "محمد علي", "王小明", "김민준", "Øyvind Ødegård", "Łukasz Żak"]
     texts = [f"assigned to {n}" for n in ("Runa Wesney", "Dario Grimund", "Tevin Quenquist", *names)] + [f"ping {n} about it" for n in names] + ["Пример Текста без имени", "测试 文本"]

@@ -4,6 +4,7 @@ Shapes that an item of a kind may have give candidates, each with its instance (
 around it, its form, its words, its host, its kind of street. Seeds are instances known beforehand: the persons and addresses of an identity table, published samples, numbers with a country's prefix or
 beside a word that names them, and whole street addresses. In a graph of patterns and instances, scored with tables, a pattern is good if enough of its instances are
 known, and an instance becomes known if it has a good pattern; this is repeated. So the seeds find the phrases and forms in which items stand, and these find the items that no list has.
+A list of persons stays as it is while the texts grow, so that ever less of what stands even in the best phrase is known. What is enough is therefore measured against the share that is usual where the known ones stand.
 A seed only starts the search: what is accepted in the end is what has a good pattern, seed or not.
 """
 
@@ -26,6 +27,8 @@ ROUNDS = 4
 GOOD_SHARE, LEAST_KNOWN = 0.4, 2
 #: Of e-mail addresses few are known beforehand, and what looks like one is rarely anything else: here a lesser share will do.
 EMAIL_SHARE = 0.05
+#: A context with so many known instances is also good if it has these shares of what is usual in such contexts of its kind.
+MANY_KNOWN = 10
 #: Parts into which the instances of a pattern are split where patterns are joined to them.
 SALTS = 16
 
@@ -254,10 +257,16 @@ def _people(people: DataFrame) -> DataFrame:
     return known
 
 
+def _usual(p: DataFrame) -> DataFrame:
+    """(kind, usual): the share of known instances that is usual in contexts p (kind, pattern, word, n, k) with many of them, as the median over their known instances, to a quarter of a power of two."""
+    many = p.filter(~F.col("word") & (F.col("k") >= MANY_KNOWN))
+    return many.groupBy("kind").agg(F.pow(F.lit(2.0), F.percentile(F.floor(F.log2(F.col("k") / F.col("n")) * 4) / 4, F.lit(0.5), F.col("k"))).alias("usual"))
+
+
 def known_instances(found: DataFrame, people: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     """(kind, instance): what the pattern-instance graph of the candidates accepts, starting from their seeds and people(person_name[, email]). Without rounds nothing is accepted.
 
-    A pattern counts by its different instances, so repeated texts give it no weight. A hot pattern's instances are split by salt where its verdict is joined to them.
+    A pattern counts by its different instances, so repeated texts give it no weight. Where few of all items are known, contexts are good by the share that is usual, so that a seed list of fixed length serves texts of any size. A hot pattern's instances are split by salt where its verdict is joined to them.
     """
     e = found.select("kind", "instance", "seed", F.explode("patterns").alias("pattern"))
     rows = [(c[2], c[3], True, p) for x in EXAMPLES for c in candidates(x) if c[2] != "name" for p in c[5]]
@@ -269,9 +278,13 @@ def known_instances(found: DataFrame, people: DataFrame, *, rounds: int = ROUNDS
     share = F.when(F.col("kind") == "email", EMAIL_SHARE).otherwise(GOOD_SHARE)
     for _ in range(rounds):
         p = links.join(known, ["kind", "instance"]).groupBy("kind", "pattern").agg(F.count("*").alias("n"), F.count_if("known").alias("k"))
-        good = F.when(word, (F.col("k") >= 1) & (F.col("k") >= 0.5 * F.col("n"))).otherwise((F.col("k") >= LEAST_KNOWN) & (F.col("k") >= share * F.col("n")))
-        bad = word & (F.col("n") >= 3) & (F.col("k") == 0)  # a word of many candidates, none of them known
-        p = p.select("kind", "pattern", word.alias("word"), good.alias("good"), bad.alias("bad")).filter("good OR bad")
+        p = written(p.withColumn("word", word).filter("k >= 1 OR word AND n >= 3"), "pattern-shares")
+        p = p.join(F.broadcast(_usual(p)), "kind", "left")  # a row for each kind
+        usual = (F.col("k") >= MANY_KNOWN) & (F.col("k") >= share * F.col("usual") * F.col("n"))
+        phrase = (F.col("k") >= LEAST_KNOWN) & (F.col("k") >= share * F.col("n")) | F.coalesce(usual, F.lit(False))
+        good = F.when(F.col("word"), (F.col("k") >= 1) & (F.col("k") >= 0.5 * F.col("n"))).otherwise(phrase)
+        bad = F.col("word") & (F.col("n") >= 3) & (F.col("k") == 0)  # a word of many candidates, none of them known
+        p = p.select("kind", "pattern", "word", good.alias("good"), bad.alias("bad")).filter("good OR bad")
         p = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         s = links.join(p, ["kind", "pattern", "salt"]).groupBy("kind", "instance").agg(F.bool_or(~F.col("word") & F.col("good")).alias("phrase"), F.bool_or(F.col("word") & F.col("good")).alias("word"), F.bool_or("bad").alias("bad"))
         now = F.coalesce(F.col("phrase") | F.col("word") & ~F.col("bad"), F.lit(False))
