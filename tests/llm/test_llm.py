@@ -276,6 +276,28 @@ def test_clocks_are_corrected(spark, chunk):
     assert {r.session_id for r in conversations.conversations(df, chunk_us=chunk).collect()} == {"right"}
 
 
+def test_stored_times_are_kept_by_their_estimate(spark, monkeypatch):
+    """Without corrections, too, each conversation is kept by its least-squares offset: all get one that no bound excludes, and of those the ones with 0 are kept."""
+    rows = [
+        *talk("right", ("user", "a", 1), ("assistant", USE, 2), ("user", RES, 3), ("assistant", "b", 4)), *talk("plain", ("user", "a", 1), ("assistant", "b", 2)),
+        *talk("late", ("user", "a", 2), ("assistant", USE, 5), ("user", RES, 4), ("assistant", "d", 7)), *talk("open", ("user", "a", 1)),
+    ]
+    df = spark.createDataFrame(rows, LINE)
+    kept = lambda: {r.session_id for r in conversations.conversations(df).collect()}
+    solve, seen = conversations.least_squares, {}
+
+    def watched(limits, fit):
+        d = solve(limits, fit)
+        seen.update({r.session_id: r.d for r in d.collect()})
+        return d
+
+    monkeypatch.setattr(conversations, "least_squares", watched)
+    assert kept() == {"right", "plain"}
+    assert seen == {"right": 0, "plain": 0, "late": conversations.HOUR_US + 1}
+    monkeypatch.setattr(conversations, "least_squares", lambda limits, fit: solve(limits, fit).withColumn("d", F.when(F.col("session_id") == "plain", 1).otherwise(F.col("d"))))
+    assert kept() == {"right"}
+
+
 # Personal items
 
 
